@@ -1,0 +1,43 @@
+"""Connected components of a distributed edge table: alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import Scratch
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link every larger neighbour of a node to the smallest node of its neighbourhood."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link a node and its smaller neighbours to the smallest of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v) pairs of any order -> (node, component): each linked node with the smallest node it reaches.
+
+    Null ends and self-links are left out, repeated edges count once, no edges give no rows.  Rounds end when the
+    edge table, which only ever moves towards stars, keeps its count and sums.  A star's centre may have any number
+    of neighbours: minima are combined before the shuffle and joins with them can be split.
+    """
+    now = scratch.write(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
+    # decimal sums cannot overflow
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    seen = mark(now)
+    while seen[0]:
+        after = scratch.write(_small_star(_large_star(now)), "stars")
+        last, seen = seen, mark(after)
+        scratch.drop(now)
+        now = after
+        if last == seen:
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
