@@ -15,7 +15,8 @@ Passes, each over tables in the shared folder:
 3. Each prefix n-gram's documents are compared with one pivot, the document whose n-grams are the most frequent.
    That is linear in the index and joins large groups of near copies at once.
 4. Documents of one n-gram that are still in different components are joined on it, leaving out pairs inside
-   the n-gram's largest component.  The multi-match test runs inside that join, so only pairs that pass it are rows.
+   the n-gram's largest component.  The multi-match test runs inside that join, on prefixes that travel with the lists,
+   so only pairs that pass it are rows; they fetch their sets for verification.
 """
 
 from __future__ import annotations
@@ -85,8 +86,8 @@ def _survivor_sets(width: int):
     return run
 
 
-def _adapt(percent: int):
-    """Order a document's shared n-grams and choose its l.
+def _adapt(percent: int, longest: int):
+    """Order a document's shared n-grams and choose its l, from 1 to ``longest``.
 
     Cost of l: scanning the lists of its prefix, ``S = sum(df)``, plus verifying the candidates left.  At most
     ``S / l`` documents can meet l times in lists of S entries, and verifying one costs about its own length.
@@ -102,7 +103,7 @@ def _adapt(percent: int):
                 df, gram, alone, need = df[order], gram[order], n - len(df), int(_needed(np.array(n), percent))
                 first = n - need + 1 - alone  # shared n-grams in the prefix for l = 1
                 reach = np.cumsum(df)[first - 1 :]  # for l = 1, 2, ...
-                ell = np.arange(1, min(need, len(reach)) + 1)
+                ell = np.arange(1, min(need, len(reach), longest) + 1)
                 cost = reach[: len(ell)] * (1 + n / ell)
                 best = int(ell[np.argmin(cost)])
                 kept.append((rep, n, len(df), float(df.sum() / n), best, first, first + best - 1, gram))
@@ -120,15 +121,21 @@ def _feasible(a: str, b: str, percent: int) -> str:
     return f"least({a}.v, {b}.v) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
 
 
-def _multi_match(a: str, b: str) -> str:
-    return f"size(array_intersect(slice({a}.grams, 1, {a}.reach), slice({b}.grams, 1, {b}.reach))) >= least({a}.ell, {b}.ell)"
+def _multi_match(a: str, b: str, percent: int, held: str) -> str:
+    """The prefixes share as many n-grams as the smaller l asks for, and as many as the pair's overlap needs.
+
+    Of two prefixes, that which ends first in the common order holds every shared n-gram up to its end, and behind it
+    its document has ``v - reach`` more.
+    """
+    need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}) - greatest({a}.v - {a}.reach, {b}.v - {b}.reach)"
+    return f"size(array_intersect(slice({a}.{held}, 1, {a}.reach), slice({b}.{held}, 1, {b}.reach))) >= greatest(least({a}.ell, {b}.ell), {need})"
 
 
 def _verified(a: str, b: str, percent: int) -> str:
     return f"size(array_intersect({a}.grams, {b}.grams)) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: int = 20) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: int = 20, longest: int = 32) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id): the components of all links of at least ``percent``.
 
     docs: any table with a unique integer id and a text; other columns are ignored, whatever their names.  A-Z are
@@ -136,7 +143,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts have none, link with nothing and are their own component.  ``class_id`` is the smallest id with the same
     n-gram set: equal sets link, so a class is judged once, through that member.  Rows with a null id are left out;
     repeated rows come out as often as they go in; an empty table gives no rows.  ``share``: a document is looked at in pass 2 if it has one prefix n-gram in
-    common with others for each ``share`` of its n-grams, plus one.
+    common with others for each ``share`` of its n-grams, plus one.  ``longest``: the most that l may be.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
@@ -155,7 +162,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = sets.select(F.explode("grams").alias("gram"), "rep", "n")
     df = scratch.write(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
     shared = entries.join(df.hint("shuffle_hash"), "gram").groupBy("rep").agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "gram")).alias("shared"))
-    index = scratch.write(shared.where(f"size(shared) * 100 >= {percent} * n").mapInArrow(_adapt(percent), _ADAPTED_DDL), "index")
+    index = scratch.write(shared.where(f"size(shared) * 100 >= {percent} * n").mapInArrow(_adapt(percent, longest), _ADAPTED_DDL), "index")
     scratch.drop(alive, sets, df)
 
     posted = index.select(F.explode(F.expr("slice(grams, 1, first)")).alias("gram"), "rep", "central")
@@ -163,7 +170,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = posted.join(pivots, "gram").where("rep <> pivot").select("rep", "pivot").distinct()
     a, b = index.alias("a"), index.alias("b")
     met = pairs.alias("p").join(a, F.expr("p.rep = a.rep")).join(b, F.expr("p.pivot = b.rep"))
-    links = scratch.write(met.where(_feasible("a", "b", percent)).where(_multi_match("a", "b")).where(_verified("a", "b", percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")), "pivot-links")
+    links = scratch.write(met.where(_feasible("a", "b", percent)).where(_multi_match("a", "b", percent, "grams")).where(_verified("a", "b", percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")), "pivot-links")
     parts = scratch.write(components(links, scratch), "pivot-components")
 
     member = index.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component", "central")
@@ -171,15 +178,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posted = member.select(F.explode(F.expr("slice(grams, 1, first)")).alias("gram"), "rep", "part")
     sides = posted.groupBy("gram", "part").agg(F.count("*").alias("c"))
     largest = scratch.write(sides.groupBy("gram").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("gram", F.col("m.part").alias("most")), "open-grams")
-    # only documents in open lists carry their n-grams on; the smaller sides ask, everyone answers
-    open_ = scratch.write(posted.drop("part").join(largest, "gram").join(member, "rep"), "open-lists")
+    # only prefixes travel with the lists; the smaller sides ask, everyone answers
+    held = member.withColumn("pre", F.expr("slice(grams, 1, reach)")).drop("grams")
+    open_ = scratch.write(posted.drop("part").join(largest, "gram").join(held, "rep"), "open-lists")
     a, b = open_.where("part <> most").alias("a"), open_.alias("b")
-    first_met = "try_element_at(array_intersect(slice(a.grams, 1, a.first), slice(b.grams, 1, b.first)), 1) = a.gram"
-    met = F.expr(f"a.gram = b.gram AND a.part <> b.part AND (b.part = b.most OR a.rep < b.rep) AND {_feasible('a', 'b', percent)} AND {first_met} AND {_multi_match('a', 'b')}")
-    more = scratch.write(a.join(b, met).where(_verified("a", "b", percent)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct(), "more-links")
+    first_met = "try_element_at(array_intersect(slice(a.pre, 1, a.first), slice(b.pre, 1, b.first)), 1) = a.gram"
+    met = F.expr(f"a.gram = b.gram AND a.part <> b.part AND (b.part = b.most OR a.rep < b.rep) AND {_feasible('a', 'b', percent)} AND {first_met} AND {_multi_match('a', 'b', percent, 'pre')}")
+    pairs = scratch.write(a.join(b, met).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v")).distinct(), "open-pairs")
+    a, b = index.alias("a"), index.alias("b")
+    more = pairs.alias("p").join(a, F.expr("p.u = a.rep")).join(b, F.expr("p.v = b.rep")).where(_verified("a", "b", percent)).select("p.u", "p.v")
+    more = scratch.write(more, "more-links")
     if more.limit(1).count():
         parts = scratch.write(components(links.unionByName(more), scratch), "components")
-    scratch.drop(index, pivots, member, largest, open_)
+    scratch.drop(index, pivots, member, largest, open_, pairs)
 
     of = first.select("doc_id", "n", "key").join(classes, "key")
     return of.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
