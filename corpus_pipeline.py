@@ -15,7 +15,8 @@ from kindred.llm.mixing import mix_sources
 from kindred.llm.ngram_join import ngram_join
 from kindred.llm.packing import pack
 from kindred.llm.quality_rules import quality_rules
-from kindred.llm.shared import Scratch, read_table
+from kindred.llm.shared import read_table
+from kindred.scratch import Scratch
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:

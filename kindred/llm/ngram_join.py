@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .components import components
-from .shared import Scratch
+from ..operators.components import components
+from ..scratch import Scratch
 
 _SET = "doc_id long, n long, key binary, pre array<long>"
 

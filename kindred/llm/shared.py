@@ -1,70 +1,9 @@
-"""Tables in the folder that driver and executors share.
-
-Operators with several passes write each intermediate result there and read it again.  That cuts lineage in a
-way that survives lost executors, fixes the rows that later passes see, and lets finished shuffles be deleted.
-"""
+"""Reading the driver's tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and Spark runs locally."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="kindred-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-@contextmanager
-def _shuffles_deleted(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
-class Scratch:
-    """Named tables of one run of one operator, below the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self._n = 0
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Run the plan once, keep its rows as Parquet and return a frame that reads them."""
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        with _shuffles_deleted(self.spark):
-            df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,10 +2,10 @@
 
 The fingerprint of a window of ``window`` words is the least hash among its runs of ``gram`` words, so equal windows
 have equal fingerprints while neighbouring windows mostly share theirs: a text has some fifth as many distinct
-fingerprints as windows.  The index is a list of immutable runs of (fingerprint, document), each sorted.  A batch of
-documents becomes a run; that run is merge-joined with the historical ones; only windows whose fingerprint another
-document has too are hashed in full, with 128 bits over all their words, and verified against the windows of those
-documents; then runs of similar size are compacted into one.
+fingerprints as windows.  The index is a list of immutable runs of fingerprints, each sorted.  A batch of documents
+becomes a run; that run is merge-joined with the historical ones; only windows whose fingerprint another document has
+too are hashed in full, with 128 bits over all their words, and verified against the windows of those documents; runs of
+similar size are compacted into one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .shared import Scratch
+from ..scratch import Scratch
 
 _SECOND = V.stream(64, 0x5EC0) | np.uint64(1)
 
@@ -92,7 +92,7 @@ def _candidate_windows(window: int, gram: int):
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
             pick = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), batch.column("fresh").take(pick), pa.array(one[new]), pa.array(two[new])], names=["doc_id", "fresh", "one", "two"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pick), pa.array(one[new]), pa.array(two[new])], names=["doc_id", "one", "two"])
 
     return run
 
@@ -127,50 +127,59 @@ def _removal(window: int):
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of (fp, doc_id), newest last; ``compact`` merges the newest while they are alike in size."""
+    """Immutable runs of distinct fingerprints (fp, n documents), newest last.
 
-    def __init__(self, scratch: Scratch, fan_out: int = 2):
-        self.scratch, self.fan_out = scratch, fan_out
-        self.runs: list[tuple[int, DataFrame]] = []
-
-    def sorted_run(self, entries: DataFrame) -> DataFrame:
-        """Range-partitioned by (fp, doc_id): a common fingerprint spreads over several files."""
-        return self.scratch.write(entries.repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "doc_id"), "run")
-
-    def add(self, run: DataFrame) -> None:
-        self.runs.append((run.count(), run))
+    A run is a table bucketed and sorted by fingerprint, so it is merge-joined with a batch's run where both lie, with
+    no shuffle of history.  Before a batch comes in, runs that are alike in size are compacted into one; so there are
+    logarithmically many, and a fingerprint is rewritten as often.
+    """
 
-    def entries(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, (run for _, run in self.runs)) if self.runs else None
+    def __init__(self, scratch: Scratch, fan_out: int = 2, buckets: int | None = None):
+        self.scratch, self.fan_out = scratch, fan_out
+        self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[tuple[int, str]] = []
+        self._n = 0
+
+    def _write(self, entries: DataFrame) -> tuple[int, str]:
+        self._n += 1
+        name = f"{self.scratch.root.rpartition('/')[2].replace('-', '_')}_run_{self._n}"
+        with self.scratch.shuffles_deleted():
+            entries.write.format("parquet").option("path", f"{self.scratch.root}/run-{self._n}").bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        return self.scratch.spark.table(name).count(), name
+
+    def _table(self, run: tuple[int, str]) -> DataFrame:
+        return self.scratch.spark.table(run[1])
+
+    def _drop(self, run: tuple[int, str]) -> None:
+        table = self._table(run)
+        table._scratch_path = f"{self.scratch.root}/{'-'.join(run[1].rsplit('_', 2)[1:])}"
+        self.scratch.spark.sql(f"DROP TABLE {run[1]}")
+        self.scratch.drop(table)
 
     def compact(self) -> None:
         while len(self.runs) > 1 and self.runs[-1][0] * self.fan_out >= self.runs[-2][0]:
-            (n, new), (m, old) = self.runs.pop(), self.runs.pop()
-            merged = self.sorted_run(old.unionByName(new))
-            self.scratch.drop(old, new)
-            self.runs.append((n + m, merged))
-
-
-def _batch(history: DataFrame | None, docs: DataFrame, known: DataFrame, low: int | None, high: int | None, index: FingerprintIndex, scratch: Scratch, window: int, gram: int) -> DataFrame:
-    """(doc_id, n_removed, kept_text) of the batch's documents that lose words; the batch joins the index."""
-    inside = F.lit(True)
-    inside = inside if low is None else inside & (F.col("doc_id") > low)
-    inside = inside if high is None else inside & (F.col("doc_id") <= high)
-    run = index.sorted_run(known.where(inside).select(F.explode("prints").alias("fp"), "doc_id"))
-    tagged = run.withColumn("fresh", F.lit(1))
-    every = tagged if history is None else tagged.unionByName(history.withColumn("fresh", F.lit(0)))
-    shared = scratch.write(every.groupBy("fp").agg(F.count("*").alias("c"), F.max("fresh").alias("fresh")).where("c > 1 and fresh = 1").select("fp"), "shared")
-    hits = every.join(shared, "fp").groupBy("doc_id").agg(F.max("fresh").alias("fresh"), F.collect_list("fp").alias("prints"))
-    within = docs if high is None else docs.where(F.col("doc_id") <= high)
-    texts = scratch.write(within.join(hits.hint("shuffle_hash"), "doc_id"), "texts")
-    seen = scratch.write(texts.mapInArrow(_candidate_windows(window, gram), "doc_id long, fresh int, one long, two long"), "windows")
-    first = scratch.write(seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "owners")
-    late = seen.where("fresh = 1").join(first, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list(F.struct("one", "two")).alias("hits"))
-    out = scratch.write(texts.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removal(window), "doc_id long, n_removed long, kept_text string"), "removed")
-    scratch.drop(shared, texts, seen, first)
-    index.add(run)
-    index.compact()
-    return out
+            new, old = self.runs.pop(), self.runs.pop()
+            both = self._table(old).unionByName(self._table(new))
+            self.runs.append(self._write(both.groupBy("fp").agg(F.sum("n").alias("n"))))
+            self._drop(old)
+            self._drop(new)
+
+    def add(self, prints: DataFrame) -> DataFrame:
+        """Take in a batch's (fp), one row for each document that has it; return the fps that others have too."""
+        self.compact()
+        run = self._write(prints.groupBy("fp").agg(F.count("*").alias("n")))
+        batch = self._table(run)
+        shared = batch.where("n > 1").select("fp")
+        for old in self.runs:
+            shared = shared.unionByName(batch.select("fp").join(self._table(old).hint("merge"), "fp", "left_semi"))
+        out = self.scratch.write(shared, "shared")
+        self.runs.append(run)
+        return out
+
+    def close(self) -> None:
+        """Delete all runs."""
+        while self.runs:
+            self._drop(self.runs.pop())
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 6, batches: int = 2, fan_out: int = 2) -> DataFrame:
@@ -182,20 +191,42 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a window, null and empty ones keep everything.  Ids are unique; rows with a null id are left out; an empty table
     gives no rows; other columns are ignored.
 
-    Documents come in ``batches`` by id, as if they arrived over time, each judged against the runs of all before
-    and against itself.  Common passages, whatever their number of copies, are combined before each shuffle or spread
-    by joins that Spark can split.  A document's own fingerprints and windows are the largest lists ever gathered.
+    Documents come in ``batches`` by id, as if they arrived over time; each joins the index and yields the
+    fingerprints it shares with itself or with earlier ones.  A document whose word sequence an earlier one has loses
+    all its windows without a look at them.  The windows of all batches are verified together, by one shuffle of
+    the texts that have shared fingerprints.  Common passages, whatever their number of copies, are combined before each
+    shuffle or spread by joins that Spark can split; a document's own fingerprints and windows are the largest lists
+    ever gathered.
     """
     if not 2 <= gram <= window <= 32:
         raise ValueError("2 <= gram <= window <= 32")
     scratch = Scratch(docs.sparkSession, "substring-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    known = scratch.write(docs.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "documents")
-    cuts = known.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10000)).first()[0] or []
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10000)).first()[0] or []
     bounds = [None, *sorted(set(cuts if batches > 1 else [])), None]
-    index, removed = FingerprintIndex(scratch, fan_out), []
+    index, known, shared = FingerprintIndex(scratch, fan_out), [], []
     for low, high in zip(bounds, bounds[1:], strict=False):
-        removed.append(_batch(index.entries(), docs, known, low, high, index, scratch, window, gram))
-    gone = reduce(DataFrame.unionByName, removed)
+        new = docs if low is None else docs.where(F.col("doc_id") > low)
+        new = new if high is None else new.where(F.col("doc_id") <= high)
+        known.append(scratch.write(new.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "batch"))
+        shared.append(index.add(known[-1].select(F.explode("prints").alias("fp"))))
+    index.close()
+    known, shared = reduce(DataFrame.unionByName, known), scratch.write(reduce(DataFrame.unionByName, shared).distinct(), "shared")
+
+    original = scratch.write(known.groupBy("sha").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
+    copies = scratch.write(known.select("doc_id", "n_words", "sha").join(original, "sha").where("doc_id > original").select("doc_id", "n_words"), "copies")
+    entries = known.select("doc_id", F.explode("prints").alias("fp"))
+    hits = entries.join(shared.hint("shuffle_hash"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_list("fp").alias("prints"))
+    hits = scratch.write(hits.join(copies, "doc_id", "left_anti"), "candidates")
+    texts = scratch.write(docs.join(hits.hint("shuffle_hash"), "doc_id"), "texts")
+    scratch.drop(shared, hits)
+    seen = scratch.write(texts.mapInArrow(_candidate_windows(window, gram), "doc_id long, one long, two long"), "windows")
+    owners = scratch.write(seen.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").drop("c"), "owners")
+    late = scratch.write(seen.join(owners.hint("shuffle_hash"), ["one", "two"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("one", "two")).alias("hits")), "late")
+    scratch.drop(seen, owners)
+    gone = texts.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removal(window), "doc_id long, n_removed long, kept_text string")
+    gone = gone.unionByName(copies.where(F.col("n_words") >= window).select("doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text")))
+    gone = scratch.write(gone, "removed")
+    scratch.drop(texts, late)
     out = known.select("doc_id", "n_words", "sha").join(gone.withColumn("own", F.sha2(F.col("kept_text").cast("binary"), 256)), "doc_id", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("own", "sha").alias("kept_sha256"), "kept_text")
