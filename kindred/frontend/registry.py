@@ -13,7 +13,7 @@ from pyspark.sql.functions import udtf
 from .. import schema
 from .python_source import python_units
 from .rust_source import RustSyntaxError, rust_units
-from .tree import Unit, admitted, count, rows, sub_units
+from .tree import Unit, admitted, count, fingerprint, rows, sub_units
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,8 @@ LANGUAGES: dict[str, Analyzer] = {
     "rust": Analyzer("rust", ("rs",), rust_units),
 }
 
-_UNIT = [f.name for f in schema.UNITS]
-EXTRACTED = f"section string, warning string, {schema.UNIT_COLUMNS}"
+_UNIT = schema.names(schema.UNITS)
+EXTRACTED = f"section string, warning string, {schema.UNITS}"
 
 
 def parse_file(analyzer: Analyzer, path: str) -> list[Unit]:
@@ -50,9 +50,9 @@ def parse_files(analyzer: Analyzer, paths: list[str]) -> tuple[list[Unit], list[
     return units, warnings
 
 
-def _row(section: str, unit_id: int, u: Unit, path: str, tree, fingerprint: str, n: int, kind: str, name: str, parent: str | None, is_test: bool) -> dict:
+def _row(section: str, unit_id: int, u: Unit, path: str, tree, print_: str, n: int, kind: str, name: str, parent: str | None, is_test: bool) -> dict:
     keys = [r["path_key"] for r in rows(tree) if r["disc"] != "None"]
-    return {"section": section, "warning": None, "unit_id": unit_id, "kind": kind, "name": name, "file": path, "line_start": u.line_start, "line_end": u.line_end, "fingerprint": fingerprint, "node_count": n, "body_count": len(keys), "body_keys": keys, "parent_name": parent, "is_test": is_test}
+    return {"section": section, "warning": None, "unit_id": unit_id, "kind": kind, "name": name, "file": path, "line_start": u.line_start, "line_end": u.line_end, "fingerprint": print_, "node_count": n, "body_count": len(keys), "body_keys": keys, "parent_name": parent, "is_test": is_test}
 
 
 def file_rows(analyzer: Analyzer, file_no: int, path: str, text: str, min_nodes: int, min_lines: int, min_sub_nodes: int | None) -> Iterator[dict]:
@@ -67,8 +67,6 @@ def file_rows(analyzer: Analyzer, file_no: int, path: str, text: str, min_nodes:
     for i, u in enumerate(units):
         yield _row("unit", base + i, u, path, u.body, u.fingerprint(), u.node_count, u.kind, u.name, None, analyzer.is_test(u))
         for kind, description, tree in sub_units(u.body, min_sub_nodes) if min_sub_nodes is not None else ():
-            from .tree import fingerprint
-
             yield _row("sub", base + n_sub, u, path, tree, fingerprint(tree), count(tree), kind, description, u.name, analyzer.is_test(u))
             n_sub += 1
 
@@ -98,4 +96,4 @@ def register_udtfs(spark: SparkSession) -> None:
                         if r["section"] == "unit":
                             yield tuple(r[c] for c in _UNIT)
 
-        spark.udtf.register(f"{name}_units", udtf(Units, returnType=schema.UNIT_COLUMNS))
+        spark.udtf.register(f"{name}_units", udtf(Units, returnType=schema.UNITS))

@@ -174,9 +174,10 @@ class _Parser:
         out = []
         while self.at("#") and (self.at("[", 1) or (self.at("!", 1) and self.at("[", 2))):
             self.i += 1
-            self.eat("!")
+            inner = self.eat("!")
             a, b = self.balanced()
-            out.append(self.t[a:b])
+            if not inner:
+                out.append(self.t[a:b])
         return out
 
     @staticmethod
@@ -250,7 +251,6 @@ class _Parser:
             if not self.eat(";"):
                 self.need("{")
                 self.test = before or under_test
-                self.attributes()
                 self.items("}")
                 self.need("}")
         elif self.at("impl"):
@@ -378,16 +378,14 @@ class _Parser:
         if self.at("<"):
             self.angles()
         self.eat("const")
-        negative = self.eat("!")
+        self.eat("!")
         first = self._type_name()
         owner = first + "::{}"
         if self.eat("for"):
             owner = f"<{self._type_name()} as {first}>::{{}}"
-        del negative
         while not self.at("{"):
             self.angles() if self.at("<") else self._one() if self.now.kind != "end" else self.fail("'{'")
         self.need("{")
-        self.attributes()
         kind = "trait impl block" if owner.startswith("<") else "method"
         while not self.eat("}"):
             self.attributes()
@@ -703,7 +701,6 @@ class _Parser:
         self.i += 1
         kids = [self.expr(True)]
         self.need("{")
-        self.attributes()
         while not self.eat("}"):
             self.attributes()
             pattern = self.pattern()
@@ -1118,7 +1115,6 @@ def rust_units(path: str, text: str) -> list[Unit]:
     units: list[Unit | None] = []
     parser = _Parser(tokenize(text), path, units)
     try:
-        parser.attributes()
         parser.items()
     except IndexError:
         raise RustSyntaxError("unexpected end of file") from None
