@@ -160,7 +160,8 @@ class FingerprintIndex:
         while len(self.runs) > 1 and self.runs[-1][0] * self.fan_out >= self.runs[-2][0]:
             new, old = self.runs.pop(), self.runs.pop()
             both = self._table(old).unionByName(self._table(new))
-            self.runs.append(self._write(both.groupBy("fp").agg(F.sum("n").alias("n"))))
+            # dealt out anew: a union of bucketed scans must not pass for partitioned by fp
+            self.runs.append(self._write(both.repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n"))))
             self._drop(old)
             self._drop(new)
 
@@ -204,20 +205,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10000)).first()[0] or []
     bounds = [None, *sorted(set(cuts if batches > 1 else [])), None]
-    index, known, shared = FingerprintIndex(scratch, fan_out), [], []
+    index, batches_, shared = FingerprintIndex(scratch, fan_out), [], []
     for low, high in zip(bounds, bounds[1:], strict=False):
         new = docs if low is None else docs.where(F.col("doc_id") > low)
         new = new if high is None else new.where(F.col("doc_id") <= high)
-        known.append(scratch.write(new.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "batch"))
-        shared.append(index.add(known[-1].select(F.explode("prints").alias("fp"))))
+        batches_.append(scratch.write(new.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "batch"))
+        shared.append(index.add(batches_[-1].select(F.explode("prints").alias("fp"))))
     index.close()
-    known, shared = reduce(DataFrame.unionByName, known), scratch.write(reduce(DataFrame.unionByName, shared).distinct(), "shared")
+    known, shared = reduce(DataFrame.unionByName, batches_), scratch.write(reduce(DataFrame.unionByName, shared).distinct(), "shared")
 
     original = scratch.write(known.groupBy("sha").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
     copies = scratch.write(known.select("doc_id", "n_words", "sha").join(original, "sha").where("doc_id > original").select("doc_id", "n_words"), "copies")
     entries = known.select("doc_id", F.explode("prints").alias("fp"))
     hits = entries.join(shared.hint("shuffle_hash"), "fp", "left_semi").groupBy("doc_id").agg(F.collect_list("fp").alias("prints"))
     hits = scratch.write(hits.join(copies, "doc_id", "left_anti"), "candidates")
+    known = scratch.write(known.select("doc_id", "n_words", "sha"), "digests")
+    scratch.drop(*batches_)
     texts = scratch.write(docs.join(hits.hint("shuffle_hash"), "doc_id"), "texts")
     scratch.drop(shared, hits)
     seen = scratch.write(texts.mapInArrow(_candidate_windows(window, gram), "doc_id long, one long, two long"), "windows")
