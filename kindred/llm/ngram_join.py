@@ -70,7 +70,8 @@ def _first_pass(width: int, percent: int, share: int):
             ends = np.cumsum(n)
             starts = ends - n
             keys = [xxhash.xxh3_128_digest(gram[a:b].data) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            take = np.where(n > 0, np.minimum(n, n - _needed(n, percent) + 1 + n // share), 0)
+            need = _needed(n, percent)
+            take = np.where(n > 0, n - need + np.minimum(1 + n // share, need), 0)
             rank = np.arange(len(gram)) - np.repeat(starts, n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), V.lists(take, gram[rank < np.repeat(take, n)])], names=["doc_id", "n", "key", "pre"])
 
@@ -154,7 +155,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = first.select(F.explode("pre").alias("gram"), "doc_id")
     elsewhere = scratch.write(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "elsewhere")
     hits = entries.join(elsewhere.hint("shuffle_hash"), "gram").groupBy("doc_id").agg(F.count("*").alias("hits"))
-    alive = first.select("doc_id", "n").join(hits, "doc_id").where(f"hits >= 1 + n div {share}")
+    alive = first.select("doc_id", "n").join(hits, "doc_id").where(f"hits >= least(1 + n div {share}, (n * {percent} + 99) div 100)")
     alive = scratch.write(alive.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").select("doc_id").distinct(), "alive")
     scratch.drop(elsewhere)
 
