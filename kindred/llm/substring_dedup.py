@@ -159,9 +159,9 @@ class FingerprintIndex:
     def compact(self) -> None:
         while len(self.runs) > 1 and self.runs[-1][0] * self.fan_out >= self.runs[-2][0]:
             new, old = self.runs.pop(), self.runs.pop()
-            both = self._table(old).unionByName(self._table(new))
-            # dealt out anew: a union of bucketed scans must not pass for partitioned by fp
-            self.runs.append(self._write(both.repartition(self.buckets, "fp").groupBy("fp").agg(F.sum("n").alias("n"))))
+            n = F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))
+            both = self._table(old).alias("old").join(self._table(new).alias("new").hint("merge"), "fp", "full_outer")
+            self.runs.append(self._write(both.select("fp", n.alias("n"))))
             self._drop(old)
             self._drop(new)
 
@@ -223,10 +223,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(*batches_)
     texts = scratch.write(docs.join(hits.hint("shuffle_hash"), "doc_id"), "texts")
     scratch.drop(shared, hits)
-    seen = scratch.write(texts.mapInArrow(_candidate_windows(window, gram), "doc_id long, one long, two long"), "windows")
+    # made twice rather than kept: hashes do not compress, and would be the largest table of all
+    seen = texts.mapInArrow(_candidate_windows(window, gram), "doc_id long, one long, two long")
     owners = scratch.write(seen.groupBy("one", "two").agg(F.min("doc_id").alias("owner"), F.count("*").alias("c")).where("c > 1").drop("c"), "owners")
     late = scratch.write(seen.join(owners.hint("shuffle_hash"), ["one", "two"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("one", "two")).alias("hits")), "late")
-    scratch.drop(seen, owners)
+    scratch.drop(owners)
     gone = texts.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removal(window), "doc_id long, n_removed long, kept_text string")
     gone = gone.unionByName(copies.where(F.col("n_words") >= window).select("doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text")))
     gone = scratch.write(gone, "removed")
