@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import vectors as V
 from ..scratch import Scratch
+from ..shipping import ship
 from .url_filter import split_url, suffix_and_domain
 
 SLOTS = 1 << 14  # hashed byte trigrams of the text model
@@ -49,7 +50,7 @@ def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str
     Counts are combined in each task and by grouped aggregation; languages times SLOTS sums reach the driver.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    Scratch(labelled.sparkSession, "language")
+    ship(labelled.sparkSession)
     sums = rows.mapInArrow(_trigram_counts, "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("c").alias("counts")).orderBy("lang").collect()
     table = np.full((len(sums), SLOTS), smoothing)
     for i, row in enumerate(sums):

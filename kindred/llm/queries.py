@@ -41,7 +41,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read_table(spark, sf_dir, "documents"), window=13, batches=2).drop("kept_text")
+    return substring_dedup(read_table(spark, sf_dir, "documents"), window=13, batches=3).drop("kept_text")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
