@@ -30,42 +30,58 @@ def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select(F.col("l.unit_id").alias("a"), F.col("r.unit_id").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
 
 
-def bucket_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) by comparing all pairs of a bucket: for thresholds that pairs without common keys reach."""
+def bucket_pairs(candidates: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
+    """(a, b, score) by comparing all pairs of a bucket: for thresholds that pairs without common keys reach, and for
+    sets so alike that an index would meet most pairs anyway.  Buckets are few and large, so each is dealt out over
+    ``salts`` parts of its left side.
+    """
     side = _sides(candidates)
-    return _scored(side.alias("l").join(side.alias("r"), F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.unit_id < r.unit_id")), threshold)
+    left = side.withColumn("salt", F.pmod("unit_id", F.lit(salts)))
+    right = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _scored(left.alias("l").join(right.alias("r"), F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.salt = r.salt AND l.unit_id < r.unit_id")), threshold)
 
 
-def prefix_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
-    """The same pairs through an inverted index of prefixes, for thresholds above 0.
+def prefix_index(candidates: DataFrame, threshold: float) -> DataFrame:
+    """Candidates that share keys with others, with their prefixes.
 
     Keys are ordered by how many candidates of the bucket have them, rarest first.  Two sets of sizes n and m with a
-    Dice score of t share a key among the first ``n - ceil(n t / (2 - t)) + 1`` of each, and n, m differ by a
-    factor of at most ``(2 - t) / t``.  A pair is made once, at its first common key.
+    Dice score of t share a key among the first ``n - ceil(n t / (2 - t)) + 1`` of each.
     """
     side = _sides(candidates)
     keyed = side.select("unit_id", "kind", "bucket", "body_count", F.explode("body_keys").alias("key"))
     rarity = keyed.groupBy("kind", "bucket", "key").agg(F.count("*").alias("df")).where("df > 1")
     held = keyed.alias("k").join(rarity.alias("r"), F.expr("k.kind <=> r.kind AND k.bucket = r.bucket AND k.key = r.key")).groupBy("k.unit_id").agg(F.array_sort(F.collect_list(F.struct("r.df", "k.key"))).alias("held"))
-    share = threshold / (2 - threshold)
     # the slack keeps rounding from shortening a prefix
-    first = F.floor(F.col("body_count") - F.col("body_count") * share + 1 + 1e-9) - (F.col("body_count") - F.size("held"))
+    first = F.floor(F.col("body_count") - F.col("body_count") * threshold / (2 - threshold) + 1 + 1e-9) - (F.col("body_count") - F.size("held"))
     index = side.join(held, "unit_id").withColumn("prefix", F.transform(F.slice("held", 1, F.greatest(first, F.lit(0)).cast("int")), lambda x: x["key"]))
-    index = index.select("unit_id", "kind", "bucket", "body_count", "body_keys", "prefix").where("size(prefix) > 0")
+    return index.select("unit_id", "kind", "bucket", "body_count", "body_keys", "prefix").where("size(prefix) > 0")
+
+
+def index_pairs(index: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that meet in the index.  Sizes differ by a factor of at most ``(2 - t) / t``; a pair is made once, at its
+    first common key."""
     posted = index.withColumn("key", F.explode("prefix"))
-    met = F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.key = r.key AND l.unit_id < r.unit_id") & (F.least("l.body_count", "r.body_count") >= F.greatest("l.body_count", "r.body_count") * share - 1e-9) & F.expr("try_element_at(array_intersect(l.prefix, r.prefix), 1) = l.key")
-    found = _scored(posted.alias("l").join(posted.alias("r"), met), threshold)
-    empty = side.where("body_count = 0")
-    if threshold <= 1.0:
-        found = found.unionByName(_scored(empty.alias("l").join(empty.alias("r"), F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.unit_id < r.unit_id")), threshold))
-    return found
+    near_size = F.least("l.body_count", "r.body_count") >= F.greatest("l.body_count", "r.body_count") * threshold / (2 - threshold) - 1e-9
+    met = F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.key = r.key AND l.unit_id < r.unit_id") & near_size & F.expr("try_element_at(array_intersect(l.prefix, r.prefix), 1) = l.key")
+    return _scored(posted.alias("l").join(posted.alias("r"), met), threshold)
+
+
+def prefix_pairs(candidates: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """The same pairs as bucket_pairs, for thresholds above 0, by whichever plan meets fewer pairs."""
+    index = scratch.write(prefix_index(candidates, threshold), "prefixes")
+    lists = index.select("kind", "bucket", F.explode("prefix").alias("key")).groupBy("kind", "bucket", "key").agg(F.count("*").alias("n"))
+    total = lambda df: df.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    if total(with_bucket(candidates).groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= total(lists):
+        return bucket_pairs(candidates, threshold)
+    empty = candidates.where("body_count = 0")
+    return index_pairs(index, threshold).unionByName(bucket_pairs(empty, threshold))
 
 
-def dice_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
+def dice_pairs(candidates: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, score) with a < b, equal kind and size bucket and a score of at least the threshold."""
     if threshold != threshold:
         return bucket_pairs(candidates, threshold).where("false")
-    return prefix_pairs(candidates, threshold) if threshold > 0 else bucket_pairs(candidates, threshold)
+    return prefix_pairs(candidates, threshold, scratch or Scratch(candidates.sparkSession, "pairs")) if threshold > 0 else bucket_pairs(candidates, threshold)
 
 
 def near_components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -76,7 +92,7 @@ def near_components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 def near_members(units: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(component, similarity, unit columns): similarity is the least score among passing pairs of the component."""
     candidates = near_candidates(units)
-    pairs = scratch.write(dice_pairs(candidates, threshold), "pairs")
+    pairs = scratch.write(dice_pairs(candidates, threshold, scratch), "pairs")
     parts = scratch.write(near_components(pairs, scratch), "components")
     least = pairs.join(parts.withColumnRenamed("unit_id", "a"), "a").groupBy("component").agg(F.min("score").alias("similarity"))
     return units.join(parts, "unit_id").join(least, "component")

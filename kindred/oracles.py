@@ -127,7 +127,7 @@ SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') TH
     "ignore_upsert": f"WITH {UNITS}, old AS (SELECT DISTINCT fingerprint, 'starts with ' || substr(fingerprint, 1, 1) AS reason FROM unit WHERE fingerprint < '4' UNION ALL SELECT 'no hex', NULL) SELECT fingerprint, reason FROM old UNION ALL SELECT DISTINCT fingerprint, 'new' FROM unit WHERE fingerprint < '8' AND fingerprint NOT IN (SELECT fingerprint FROM old)",
     "stats_text": STATS,
     "stats_with_sub": STATS_SUB,
-    "stats_rollup": f"WITH {UNITS} SELECT kind, is_test, count(*) AS units, sum(greatest(line_end - line_start, 0) + 1)::BIGINT AS lines FROM unit GROUP BY ROLLUP (kind, is_test)",
+    "stats_rollup": f"WITH {UNITS} SELECT coalesce(kind, 'all') AS kind, coalesce(test, 'all') AS test, count(*) AS units, sum(greatest(line_end - line_start, 0) + 1)::BIGINT AS lines FROM (SELECT *, is_test::VARCHAR AS test FROM unit) GROUP BY ROLLUP (kind, test)",
     "check_limits_text": f"WITH s AS ({STATS}) SELECT limit_name, maximum, actual, actual > maximum AS failed FROM (SELECT 'max_exact' AS limit_name, 1000.0::DOUBLE AS maximum, exact_duplicate_groups::DOUBLE AS actual FROM s UNION ALL SELECT 'max_near', 0, near_duplicate_groups FROM s UNION ALL SELECT 'max_exact_percent', 5, exact_duplicate_percent FROM s UNION ALL SELECT 'max_near_percent', 99, near_duplicate_percent FROM s)",
     "group_ordinals": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT section, row_number() OVER (PARTITION BY section ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal, fingerprint, n_members, similarity FROM (SELECT 'exact' AS section, * FROM exact UNION ALL SELECT 'near', * FROM near)",
     "report_json_rows": f"WITH {UNITS}{EXACT} SELECT fingerprint, to_json({{'fingerprint': fingerprint, 'similarity': 1.0::DOUBLE, 'members': list({_MEMBER} ORDER BY unit_id)}})::VARCHAR AS json FROM unit JOIN sized USING (fingerprint) GROUP BY fingerprint",

@@ -223,7 +223,8 @@ def stats_with_sub(spark, d):
 
 
 def stats_rollup(spark, d):
-    return rollup(_texts(spark, d), "kind", "is_test")
+    named = _texts(spark, d).withColumn("test", F.col("is_test").cast("string"))
+    return rollup(named, "kind", "test").fillna("all", ["kind", "test"])
 
 
 def check_limits_text(spark, d):

@@ -13,7 +13,7 @@ from kindred.functions.similarity import size_bucket
 from kindred.operators.components import components
 from kindred.operators.exact import exact_groups, exact_members, live_fingerprints, ordinals
 from kindred.operators.ignore import drop_ignored, ignore_frame, live_entries, stale_entries, upsert, without
-from kindred.operators.near import bucket_pairs, dice_pairs, near_candidates, near_groups
+from kindred.operators.near import bucket_pairs, dice_pairs, index_pairs, near_candidates, near_groups, prefix_index
 from kindred.operators.stats import check_limits, stats
 from kindred.schema import UNITS
 from kindred.scratch import Scratch
@@ -64,6 +64,9 @@ def test_prefix_join_equals_all_pairs(spark, threshold):
             want.add((a[0], b[0], score))
     assert {tuple(r) for r in dice_pairs(u, threshold).collect()} == want
     assert {tuple(r) for r in bucket_pairs(u, threshold).collect()} == want
+    if threshold > 0:
+        filled = {x for x in want if rows[x[0]][8]}
+        assert {tuple(r) for r in index_pairs(prefix_index(u, threshold), threshold).collect()} == filled
 
 
 def test_near_group_takes_the_least_passing_score(spark):
