@@ -22,59 +22,66 @@ def with_bucket(units: DataFrame) -> DataFrame:
 
 
 def _sides(candidates: DataFrame) -> DataFrame:
-    return with_bucket(candidates).select("unit_id", "kind", "bucket", "body_count", "body_keys")
+    return with_bucket(candidates).select("unit_id", "kind", "bucket", "body_count", F.col("body_keys").alias("keys"))
 
 
 def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    score = dice(match_count(F.col("l.body_keys"), F.col("r.body_keys")), F.col("l.body_count"), F.col("r.body_count"))
+    score = dice(match_count(F.col("l.keys"), F.col("r.keys")), F.col("l.body_count"), F.col("r.body_count"))
     return pairs.select(F.col("l.unit_id").alias("a"), F.col("r.unit_id").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
 
 
-def bucket_pairs(candidates: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
-    """(a, b, score) by comparing all pairs of a bucket: for thresholds that pairs without common keys reach, and for
-    sets so alike that an index would meet most pairs anyway.  Buckets are few and large, so each is dealt out over
-    ``salts`` parts of its left side.
-    """
-    side = _sides(candidates)
+_SAME_BUCKET = "l.kind <=> r.kind AND l.bucket = r.bucket AND l.unit_id < r.unit_id"
+
+
+def _can_reach(threshold: float) -> F.Column:
+    """Sizes, and keys that anyone else has, allow the score.  The slack keeps rounding from losing a pair."""
+    return F.least(F.size("l.keys"), F.size("r.keys")) * 2.0 >= (F.col("l.body_count") + F.col("r.body_count")) * threshold - 1e-9
+
+
+def _meet_in_buckets(side: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
+    """All pairs of a bucket.  Buckets are few and large, so each is dealt out over ``salts`` parts of its left side."""
     left = side.withColumn("salt", F.pmod("unit_id", F.lit(salts)))
     right = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return _scored(left.alias("l").join(right.alias("r"), F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.salt = r.salt AND l.unit_id < r.unit_id")), threshold)
+    return _scored(left.alias("l").join(right.alias("r"), F.expr(_SAME_BUCKET + " AND l.salt = r.salt") & _can_reach(threshold)), threshold)
+
+
+def bucket_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, score) by comparing all pairs of a bucket: for thresholds that pairs without common keys reach."""
+    return _meet_in_buckets(_sides(candidates), threshold)
 
 
 def prefix_index(candidates: DataFrame, threshold: float) -> DataFrame:
-    """Candidates that share keys with others, with their prefixes.
+    """Candidates that can have a partner: (unit_id, kind, bucket, body_count, keys, first).
 
-    Keys are ordered by how many candidates of the bucket have them, rarest first.  Two sets of sizes n and m with a
-    Dice score of t share a key among the first ``n - ceil(n t / (2 - t)) + 1`` of each.
+    ``keys`` are those that another candidate of the bucket has, rarest first; no others can match.  Two sets of sizes
+    n and m with a Dice score of t share a key among the first ``n - ceil(n t / (2 - t)) + 1`` of each; ``first`` says
+    how many of ``keys`` that is.
     """
     side = _sides(candidates)
-    keyed = side.select("unit_id", "kind", "bucket", "body_count", F.explode("body_keys").alias("key"))
+    keyed = side.select("unit_id", "kind", "bucket", F.explode("keys").alias("key"))
     rarity = keyed.groupBy("kind", "bucket", "key").agg(F.count("*").alias("df")).where("df > 1")
     held = keyed.alias("k").join(rarity.alias("r"), F.expr("k.kind <=> r.kind AND k.bucket = r.bucket AND k.key = r.key")).groupBy("k.unit_id").agg(F.array_sort(F.collect_list(F.struct("r.df", "k.key"))).alias("held"))
-    # the slack keeps rounding from shortening a prefix
     first = F.floor(F.col("body_count") - F.col("body_count") * threshold / (2 - threshold) + 1 + 1e-9) - (F.col("body_count") - F.size("held"))
-    index = side.join(held, "unit_id").withColumn("prefix", F.transform(F.slice("held", 1, F.greatest(first, F.lit(0)).cast("int")), lambda x: x["key"]))
-    return index.select("unit_id", "kind", "bucket", "body_count", "body_keys", "prefix").where("size(prefix) > 0")
+    index = side.drop("keys").join(held, "unit_id").withColumn("first", F.least(first, F.size("held")).cast("int"))
+    return index.withColumn("keys", F.transform("held", lambda x: x["key"])).drop("held").where("first > 0")
 
 
 def index_pairs(index: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that meet in the index.  Sizes differ by a factor of at most ``(2 - t) / t``; a pair is made once, at its
-    first common key."""
-    posted = index.withColumn("key", F.explode("prefix"))
-    near_size = F.least("l.body_count", "r.body_count") >= F.greatest("l.body_count", "r.body_count") * threshold / (2 - threshold) - 1e-9
-    met = F.expr("l.kind <=> r.kind AND l.bucket = r.bucket AND l.key = r.key AND l.unit_id < r.unit_id") & near_size & F.expr("try_element_at(array_intersect(l.prefix, r.prefix), 1) = l.key")
-    return _scored(posted.alias("l").join(posted.alias("r"), met), threshold)
+    """Pairs that meet in the index; each is made once, at its first common key."""
+    posted = index.withColumn("key", F.explode(F.slice("keys", 1, F.col("first"))))
+    first_met = F.expr("try_element_at(array_intersect(slice(l.keys, 1, l.first), slice(r.keys, 1, r.first)), 1) = l.key")
+    return _scored(posted.alias("l").join(posted.alias("r"), F.expr(_SAME_BUCKET + " AND l.key = r.key") & _can_reach(threshold) & first_met), threshold)
 
 
 def prefix_pairs(candidates: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The same pairs as bucket_pairs, for thresholds above 0, by whichever plan meets fewer pairs."""
+    """The same pairs as bucket_pairs, for thresholds above 0: the index drops who has no partner, and the rest meet in
+    its lists or in their buckets, whichever makes fewer pairs."""
     index = scratch.write(prefix_index(candidates, threshold), "prefixes")
-    lists = index.select("kind", "bucket", F.explode("prefix").alias("key")).groupBy("kind", "bucket", "key").agg(F.count("*").alias("n"))
+    lists = index.select("kind", "bucket", F.explode(F.slice("keys", 1, F.col("first"))).alias("key")).groupBy("kind", "bucket", "key").agg(F.count("*").alias("n"))
     total = lambda df: df.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-    if total(with_bucket(candidates).groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= total(lists):
-        return bucket_pairs(candidates, threshold)
-    empty = candidates.where("body_count = 0")
-    return index_pairs(index, threshold).unionByName(bucket_pairs(empty, threshold))
+    in_buckets = total(index.groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= total(lists)
+    found = _meet_in_buckets(index, threshold) if in_buckets else index_pairs(index, threshold)
+    return found.unionByName(bucket_pairs(candidates.where("body_count = 0"), threshold))
 
 
 def dice_pairs(candidates: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
