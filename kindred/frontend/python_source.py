@@ -7,6 +7,7 @@ without a shape of their own become blocks, all names share one counter.
 from __future__ import annotations
 
 import ast
+import re
 
 from .tree import Node, Numbering, Unit, leaf, name_leaf, node, none, opt
 
@@ -16,6 +17,9 @@ COMPARE = {"Eq": "Eq", "Lt": "Lt", "LtE": "Le", "NotEq": "Ne", "GtE": "Ge", "Gt"
 UNARY = {"Not": "Not", "USub": "Neg"}
 
 
+_PARENS = re.compile(rb"\"\"\"(?s:.*?)\"\"\"|'''(?s:.*?)'''|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|#[^\n]*|[()]")
+
+
 def _collapse(kids: list[Node]) -> Node:
     """A construct without a shape of its own: nothing, its only child, or a block."""
     return leaf("Opaque") if not kids else kids[0] if len(kids) == 1 else node("Block", *kids)
@@ -242,11 +246,17 @@ class _Shapes(ast.NodeVisitor):
 
     def visit_Tuple(self, x):
         kids = self.many(x.elts)
-        return node("Tuple", *kids) if self._text_at(x).startswith(b"(") and self.lines[x.end_lineno - 1][: x.end_col_offset].endswith(b")") and self._wrapped(x) else _collapse(kids)
+        return node("Tuple", *kids) if self._wrapped(x) else _collapse(kids)
 
     def _wrapped(self, x: ast.Tuple) -> bool:
-        """Whether the tuple's own parentheses are at its place: its first element then begins after it."""
-        return not x.elts or (x.elts[0].lineno, x.elts[0].col_offset) > (x.lineno, x.col_offset)
+        """Whether the tuple has parentheses of its own: the one at its start closes at its end."""
+        text = b"\n".join(self.lines[x.lineno - 1 : x.end_lineno - 1] + [self.lines[x.end_lineno - 1][: x.end_col_offset]])[x.col_offset :]
+        depth = 0
+        for m in _PARENS.finditer(text):
+            depth += (m[0] == b"(") - (m[0] == b")")
+            if not depth and m[0] == b")":
+                return text.startswith(b"(") and m.end() == len(text)
+        return False
 
     def visit_List(self, x):
         return node("Array", *self.many(x.elts))

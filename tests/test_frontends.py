@@ -70,6 +70,11 @@ def test_python_elif_keeps_the_first_alternative():
     assert canonical(py(a)[0].body) == canonical(py(a.replace("    else:\n        c()\n", ""))[0].body)
 
 
+@pytest.mark.parametrize(("text", "disc"), [("(a, b)", "Tuple"), ("a, b", "Block"), ("(a), (b)", "Block"), ("(a, ')')", "Tuple"), ("(\n a, # )\n b,\n)", "Tuple"), ("()", "Tuple"), ("(a)", "Placeholder"), ("((a, b))", "Tuple")])
+def test_python_tuples(text, disc):
+    assert py(f"def f(a, b):\n    return {text}")[0].body.kids[0].kids[0].disc == disc
+
+
 def test_python_match_arms_are_sub_units():
     u = py("def f(x):\n    match x:\n        case 1:\n            return g(x)\n        case _ if x:\n            return h(x)\n")[0]
     assert [d for _, d, _ in sub_units(u.body, 1)] == ["match arm 1", "match arm 2"]
