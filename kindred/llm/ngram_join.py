@@ -17,6 +17,8 @@ Passes, each over tables in the shared folder:
 4. Documents of one n-gram that are still in different components are joined on it, leaving out pairs inside
    the n-gram's largest component.  The multi-match test runs inside that join, on prefixes that travel with the lists,
    so only pairs that pass it are rows; they fetch their sets for verification.
+5. On demand, every link.  Both ends of a link lie in one component, so the pairs of each component are judged
+   block by block (``ngram_links.py``); passes 3 and 4 alone see enough links for components, but not all.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ngram_links as L
 from . import vectors as V
 from ..operators.components import components
 from ..scratch import Scratch
@@ -136,22 +139,15 @@ def _verified(a: str, b: str, percent: int) -> str:
     return f"size(array_intersect({a}.grams, {b}.grams)) * {100 + percent} >= {percent} * ({a}.n + {b}.n)"
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: int = 20, longest: int = 32) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_id): the components of all links of at least ``percent``.
-
-    docs: any table with a unique integer id and a text; other columns are ignored, whatever their names.  A-Z are
-    lower-cased.  A document of fewer than ``width`` words has one n-gram, its whole sequence; null, empty and blank
-    texts have none, link with nothing and are their own component.  ``class_id`` is the smallest id with the same
-    n-gram set: equal sets link, so a class is judged once, through that member.  Rows with a null id are left out;
-    repeated rows come out as often as they go in; an empty table gives no rows.  ``share``: a document is looked at in pass 2 if it has one prefix n-gram in
-    common with others for each ``share`` of its n-grams, plus one.  ``longest``: the most that l may be.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, share: int, longest: int, members: bool) -> tuple[Scratch, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Passes 1 to 4: the scratch folder, (doc_id, n, key, pre), (key, class_id) with the class's ``members`` if
+    asked for, the index of survivors and (node, component) of linked classes."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
 
     first = scratch.write(docs.mapInArrow(_first_pass(width, percent, share), _SET), "sets")
-    classes = scratch.write(first.groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
+    classes = scratch.write(first.groupBy("key").agg(F.min("doc_id").alias("class_id"), *[F.countDistinct("doc_id").alias("members")] * members), "classes")
     entries = first.select(F.explode("pre").alias("gram"), "doc_id")
     elsewhere = scratch.write(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "elsewhere")
     hits = entries.join(elsewhere.hint("shuffle_hash"), "gram").groupBy("doc_id").agg(F.count("*").alias("hits"))
@@ -191,7 +187,38 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = scratch.write(more, "more-links")
     if more.limit(1).count():
         parts = scratch.write(components(links.unionByName(more), scratch), "components")
-    scratch.drop(index, pivots, member, largest, open_, pairs)
+    scratch.drop(pivots, member, largest, open_, pairs)
+    return scratch, first, classes, index, parts
+
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: int = 20, longest: int = 32, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, class_id): the components of all links of at least ``percent``.
 
+    docs: any table with a unique integer id and a text; other columns are ignored, whatever their names.  A-Z are
+    lower-cased.  A document of fewer than ``width`` words has one n-gram, its whole sequence; null, empty and blank
+    texts have none, link with nothing and are their own component.  ``class_id`` is the smallest id with the same
+    n-gram set: equal sets link, so a class is judged once, through that member.  Rows with a null id are left out;
+    repeated rows come out as often as they go in; an empty table gives no rows.  ``share``: a document is looked at in pass 2 if it has one prefix n-gram in
+    common with others for each ``share`` of its n-grams, plus one.  ``longest``: the most that l may be.
+    ``links`` adds ``n_links``, the exact number of other ids that the document links with, those of its class included.
+    """
+    scratch, first, classes, index, parts = _components(docs, id_col, text_col, width, percent, share, longest, links)
     of = first.select("doc_id", "n", "key").join(classes, "key")
-    return of.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    own = []
+    if links:
+        counts = L.links(index, parts, classes, percent, scratch, False).groupBy(F.col("rep").alias("class_id")).agg(F.sum("n_links").alias("n_links"))
+        of = of.join(scratch.write(counts, "link-counts"), "class_id", "left")
+        own = [F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0)) + F.col("members") - 1).otherwise(0).cast("long").alias("n_links")]
+    scratch.drop(index)
+    return of.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "class_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), *own)
+
+
+def ngram_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: int = 20, longest: int = 32) -> DataFrame:
+    """(u, v, shared): every link between classes of ngram_join, u < v their ``class_id``, and how many n-grams they share.
+
+    Within a class all texts link and are not listed.  There may be as many rows as pairs in a group of near copies.
+    """
+    scratch, _, classes, index, parts = _components(docs, id_col, text_col, width, percent, share, longest, True)
+    out = scratch.write(L.links(index, parts, classes, percent, scratch, True), "links")
+    scratch.drop(index)
+    return out

@@ -24,6 +24,8 @@ WITH RECURSIVE
 SELECT doc_id, n AS n_shingles, (SELECT min(y) FROM reach WHERE x = n.doc_id) AS component_id, class_id FROM n JOIN class USING (doc_id)
 """
 
+OP1_LINKS = OP1.replace("AS component_id, class_id FROM", "AS component_id, class_id, (SELECT count(*) FROM edges WHERE x = n.doc_id) AS n_links FROM")
+
 OP2 = """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
@@ -131,4 +133,4 @@ FROM o
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1, "op2_exact_dedup": OP2, "op3_url_filter": OP3, "op4_substring_dedup": OP4, "op5_quality_rules": OP5, "op8_mixing": OP8, "op10_chat_format": OP10}
+    return {"op1_ngram_join": OP1, "op1_ngram_links": OP1_LINKS, "op2_exact_dedup": OP2, "op3_url_filter": OP3, "op4_substring_dedup": OP4, "op5_quality_rules": OP5, "op8_mixing": OP8, "op10_chat_format": OP10}

@@ -26,6 +26,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read_table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1_ngram_join, which its SQL fixes, and each document's number of links."""
+    return ngram_join(read_table(spark, sf_dir, "documents"), width=5, percent=80, links=True)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = exact_dedup(docs)
@@ -76,4 +81,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_exact_dedup, op3_url_filter, op4_substring_dedup, op5_quality_rules, op6_packing, op7_token_counts, op8_mixing, op9_language_id, op10_chat_format)}
+    return {f.__name__: f for f in (op1_ngram_join, op1_ngram_links, op2_exact_dedup, op3_url_filter, op4_substring_dedup, op5_quality_rules, op6_packing, op7_token_counts, op8_mixing, op9_language_id, op10_chat_format)}
