@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: five operators in a row, each stage written and read again.
 
 A stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but for the last, returns the
-columns of documents.  Document ids are unique; rows without an id cannot be judged and are left out.
+columns of documents.  Rows of one id are repeats of one document, of which the exact stage keeps one; rows without an
+id cannot be judged and are left out.
 """
 
 from __future__ import annotations
@@ -24,14 +25,20 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of each id and text; texts are compared only if the ids show that rows repeat."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    return docs.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else docs
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules themselves, or through their host, go."""
     return _only(docs, quality_rules(docs).where("kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one stays."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts one stays, and one row of it."""
+    return _once(_only(docs, exact_dedup(docs).where("kept")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +47,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as its source's target asks for."""
-    copies = mix_sources(docs, weights=(5, 2, 1), share=1.5, max_repeats=2).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies.hint("shuffle_hash"), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    """Each document comes as often as its source's target asks for; repeated rows as often as all of them together."""
+    copies = mix_sources(docs, weights=(5, 2, 1), share=1.5, max_repeats=2).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"))
+    return _once(docs).join(copies.hint("shuffle_hash"), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     found = exact_dedup(docs)
-    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).distinct()  # rows of one id are repeats
     return found.join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", F.coalesce("full_hash", "digest").alias("text_sha256"))
 
 

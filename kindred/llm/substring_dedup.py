@@ -189,8 +189,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word is removed if it lies in a window of ``window`` consecutive words that also begins in a document of
     smaller id; windows are judged on the input.  ``kept_text`` holds the remaining words joined by one space for
     documents that lose some, and is null for the others; ``kept_sha256`` covers both.  Texts with fewer words than
-    a window, null and empty ones keep everything.  Ids are unique; rows with a null id are left out; an empty table
-    gives no rows; other columns are ignored.
+    a window, null and empty ones keep everything.  Rows of one id are repeats of one document and come out as often as
+    they go in; rows with a null id are left out; an empty table gives no rows; other columns are ignored.
 
     Documents come in ``batches`` by id, as if they arrived over time; each joins the index and yields the
     fingerprints it shares with itself or with earlier ones.  A document whose word sequence an earlier one has loses
@@ -230,6 +230,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop(owners)
     gone = texts.select("doc_id", "text").join(late, "doc_id").mapInArrow(_removal(window), "doc_id long, n_removed long, kept_text string")
     gone = gone.unionByName(copies.where(F.col("n_words") >= window).select("doc_id", F.col("n_words").alias("n_removed"), F.lit("").alias("kept_text")))
+    if known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+        gone = gone.dropDuplicates(["doc_id"])
     gone = scratch.write(gone, "removed")
     scratch.drop(texts, late)
     out = known.select("doc_id", "n_words", "sha").join(gone.withColumn("own", F.sha2(F.col("kept_text").cast("binary"), 256)), "doc_id", "left")
