@@ -99,13 +99,18 @@ def line_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def text_sub_units(docs: DataFrame, min_sub_nodes: int = 5) -> DataFrame:
-    """Units of the lines of documents, those of too few nodes left out; place and name are the parent's."""
+    """Units of the lines of documents, those of too few nodes left out; place and name are the parent's.
+
+    A unit in a line past 2**SUB_BITS would share its id with one of the next document, so it is an error.
+    """
     nodes = text_nodes(docs.select(F.col("doc_id").alias("unit_id"), "text"))
     trees = assembled(line_nodes(nodes), "unit_id", "sub_line").where(F.col("body_count") >= min_sub_nodes)
     text = F.coalesce("text", F.lit(""))
     about = docs.select(F.col("doc_id").alias("unit_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("parent_name"), F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("line_end"))
+    too_long = F.raise_error(F.concat(F.lit("too many lines for the ids of sub-units: document "), F.col("unit_id").cast("string")))
+    unit_id = F.when(F.col("sub_line") < 1 << SUB_BITS, F.shiftleft("unit_id", SUB_BITS) + F.col("sub_line")).otherwise(too_long)
     return trees.join(about, "unit_id").select(
-        (F.shiftleft("unit_id", SUB_BITS) + F.col("sub_line")).alias("unit_id"), F.lit("block").alias("kind"), F.concat(F.lit("line "), (F.col("sub_line") + 1).cast("string")).alias("name"), "file",
+        unit_id.alias("unit_id"), F.lit("block").alias("kind"), F.concat(F.lit("line "), (F.col("sub_line") + 1).cast("string")).alias("name"), "file",
         F.lit(1).alias("line_start"), "line_end", fingerprint(F.col("canonical")).alias("fingerprint"), F.col("body_count").alias("node_count"), "body_count", "body_keys", "parent_name", F.lit(False).alias("is_test"),
     )
 
