@@ -9,7 +9,7 @@ prefix n-grams before it is verified.  Nothing is approximate: every bound is a
 Passes, each over tables in the shared folder:
 
 1. One scan makes each document's n-gram set, a 128-bit key of the set and a prefix in hash order with
-   ``l = 1 + n/20``.  Only documents with l prefix n-grams that occur elsewhere can have a partner.
+   ``l = 1 + n/20``.  Only documents with enough prefix n-grams that occur elsewhere (``first_hits``) can have a partner.
 2. Survivors, one per distinct set, are ordered by document frequency among survivors (rarest first).  N-grams
    of a single survivor cannot be shared; documents with fewer than ``o`` others are out.
 3. Each prefix n-gram's documents are compared with one pivot, the document whose n-grams are the most frequent.
@@ -36,7 +36,7 @@ from . import vectors as V
 from ..operators.components import components
 from ..scratch import Scratch
 
-_SET = "doc_id long, n long, key binary, pre array<long>"
+_SET = "doc_id long, n long, key binary, least int, pre array<long>"
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +66,27 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def first_hits(n: np.ndarray, percent: int, share: int) -> np.ndarray:
+    """How many n-grams of a document's first prefix its partners have too, at least; n: distinct set sizes.
+
+    Both prefixes hold the pair's first ``min(o - need(n) + l(n), o - need(m) + l(m))`` shared n-grams, o being the overlap
+    that sizes n and m need.  Larger partners allow l(n); a smaller one may allow less, so the least over all sizes that
+    can link counts.  From some size on that is l(n) again, since o then exceeds need(m) by more than l may differ.
+    """
+    need = lambda x: _needed(x, percent)
+    ell = lambda x: np.minimum(1 + x // share, need(x))
+    t = percent / 100
+    if t * t * share < 1 + t:
+        return np.minimum(n, 1)
+    out = ell(n)
+    small = (n > 0) & (n * t * (1 - t) < 3 * (1 + t)) if percent < 100 else np.zeros(len(n), bool)  # equal sets: n = m
+    for i in np.flatnonzero(small):
+        m = np.arange(need(n[i]), n[i] + 1)
+        overlap = -(-percent * (n[i] + m) // (100 + percent))
+        out[i] = np.minimum(out[i], overlap - need(m) + ell(m)).min()
+    return np.maximum(out, np.minimum(n, 1))
+
+
 def _first_pass(width: int, percent: int, share: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in V.slices(batches, "text"):
@@ -76,7 +97,9 @@ def _first_pass(width: int, percent: int, share: int):
             need = _needed(n, percent)
             take = np.where(n > 0, n - need + np.minimum(1 + n // share, need), 0)
             rank = np.arange(len(gram)) - np.repeat(starts, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), V.lists(take, gram[rank < np.repeat(take, n)])], names=["doc_id", "n", "key", "pre"])
+            sizes, of = np.unique(n, return_inverse=True)
+            least = first_hits(sizes, percent, share)[of]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(least, pa.int32()), V.lists(take, gram[rank < np.repeat(take, n)])], names=["doc_id", "n", "key", "least", "pre"])
 
     return run
 
@@ -151,7 +174,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent
     entries = first.select(F.explode("pre").alias("gram"), "doc_id")
     elsewhere = scratch.write(entries.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1").select("gram"), "elsewhere")
     hits = entries.join(elsewhere.hint("shuffle_hash"), "gram").groupBy("doc_id").agg(F.count("*").alias("hits"))
-    alive = first.select("doc_id", "n").join(hits, "doc_id").where(f"hits >= least(1 + n div {share}, (n * {percent} + 99) div 100)")
+    alive = first.select("doc_id", "least").join(hits, "doc_id").where("hits >= least").select("doc_id")
     alive = scratch.write(alive.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id").select("doc_id").distinct(), "alive")
     scratch.drop(elsewhere)
 

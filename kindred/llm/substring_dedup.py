@@ -23,6 +23,19 @@ from . import vectors as V
 from ..scratch import Scratch
 
 _SECOND = V.stream(64, 0x5EC0) | np.uint64(1)
+_OTHER = 0x2C1B3C6D  # seed of the second hash of a word
+
+
+def _in_pairs(one: np.ndarray, two: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Which (one, two) are among the pairs (first, second)."""
+    order = np.argsort(first)
+    first, second = first[order], second[order]
+    low, high = np.searchsorted(first, one), np.searchsorted(first, one, side="right")
+    hit = np.zeros(len(one), bool)
+    while (open_ := np.flatnonzero(~hit & (low < high))).size:  # as many rounds as pairs share their first half
+        hit[open_] = second[low[open_]] == two[open_]
+        low[open_] += 1
+    return hit
 
 
 def _windows(words: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +54,16 @@ def _windows(words: np.ndarray, rows: np.ndarray, window: int, gram: int) -> tup
     return at, least[at].view(np.int64)
 
 
-def _window_hashes(words: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits over all words of the windows that begin at the given words."""
+def _window_hashes(words: tuple[np.ndarray, np.ndarray], at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits over all words of the windows that begin at the given words, from two independent hashes of each word."""
     with np.errstate(over="ignore"):
-        one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        turned = V.mix(words ^ np.uint64(0x94D049BB133111EB))
-        for j in range(window):
-            one += words[at + j] * V._GRAM[j]
-            two += turned[at + j] * _SECOND[j]
-        return V.mix(one).view(np.int64), V.mix(two).view(np.int64)
+        out = []
+        for hashes, factors in zip(words, (V._GRAM, _SECOND), strict=True):
+            total = np.zeros(len(at), np.uint64)
+            for j in range(window):
+                total += hashes[at + j] * factors[j]
+            out.append(V.mix(total).view(np.int64))
+        return out[0], out[1]
 
 
 def _first_pass(window: int, gram: int):
@@ -86,7 +100,7 @@ def _candidate_windows(window: int, gram: int):
             for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
                 keep[a:b] = np.isin(prints[a:b], shared[i].values.to_numpy(zero_copy_only=False))
             at = at[keep]
-            one, two = _window_hashes(words, at, window)
+            one, two = _window_hashes((words, V.hash_spans(data, starts, ends, _OTHER)), at, window)
             order = np.lexsort((two, one, rows[at]))
             row, one, two = rows[at][order], one[order], two[order]
             new = np.ones(len(row), bool)
@@ -105,14 +119,14 @@ def _removal(window: int):
             words = V.hash_spans(data, starts, ends)
             n = len(words) - window + 1
             at = np.flatnonzero(rows[:n] == rows[window - 1 :]) if n > 0 else np.empty(0, np.int64)
-            one, two = _window_hashes(words, at, window)
+            one, two = _window_hashes((words, V.hash_spans(data, starts, ends, _OTHER)), at, window)
             edge = np.searchsorted(rows[at], np.arange(batch.num_rows + 1))
             word_edge = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             raw, removed, kept = data.tobytes(), [], []
             for i, listed in enumerate(batch.column("hits")):
                 a, b = edge[i], edge[i + 1]
                 first, second = (listed.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                hit = np.isin(one[a:b], first) & np.isin(two[a:b], second)
+                hit = _in_pairs(one[a:b], two[a:b], first, second)
                 low, high = word_edge[i], word_edge[i + 1]
                 change = np.zeros(high - low + 1, np.int64)
                 np.add.at(change, at[a:b][hit] - low, 1)

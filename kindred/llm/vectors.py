@@ -1,7 +1,7 @@
-"""Words, lines and n-grams of whole Arrow text columns, hashed with numpy and without a Python loop over rows.
+"""Words, lines and n-grams of whole Arrow text columns, hashed with numpy.
 
-A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; words never cross rows.  Hashes are 64-bit
-polynomials over a fixed random byte table, closed with a bit mixer; they are the same in every process.
+A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; words never cross rows.  Hashes depend on content alone
+and are the same in every process.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK = 1 << 20  # bytes hashed at once: the working set is some 40 times that
 
@@ -34,20 +35,11 @@ def stream(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + _U(seed))
 
 
-_BASE = 0x5851F42D4C957F2D
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = stream(256, 0xB17E)
 _GRAM = stream(64, 0x6A3) | _U(1)
 _LENGTH = _U(0xD1B54A32D192ED03)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        table = np.full(max(n, BLOCK), _BASE if which == "up" else _BASE_INV, np.uint64)
-        table[0] = 1
-        _powers[which] = np.cumprod(table, dtype=np.uint64)
-    return _powers[which]
+_STEP = _U(0x9E3779B97F4A7C15)
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # of eight bytes, the first k
+LONG = 64  # bytes of the longest span that is hashed in lanes
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
@@ -96,20 +88,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of data[start:end] for ordered, disjoint spans, a block of bytes at a time."""
-    out, at = np.empty(len(starts), np.uint64), 0
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[start:end] for each span; different seeds give independent hashes.
+
+    Spans of up to LONG bytes are taken in, all at once, eight bytes at a time by a bijective mixer; longer ones go one
+    by one through xxh3.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    n = ends - starts
     with np.errstate(over="ignore"):
-        while at < len(starts):
-            low = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
-            part = data[low : int(ends[to - 1])]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * _power("up", len(part))[: len(part)], dtype=np.uint64, out=sums[1:])
-            s, e = starts[at:to] - low, ends[at:to] - low
-            h = (sums[e] - sums[s]) * _power("down", len(part))[s]
-            out[at:to] = mix(h + (e - s).astype(np.uint64) * _LENGTH)
-            at = to
+        out = mix(mix(n.astype(np.uint64) * _LENGTH + _U(seed)) ^ (lanes[starts] & _KEEP[np.minimum(n, 8)]))
+        at, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+        while len(at):
+            out[at] = mix((out[at] * _STEP) ^ (lanes[starts[at] + done] & _KEEP[np.minimum(n[at] - done, 8)]))
+            done += 8
+            at = at[n[at] > done]
+    raw = memoryview(padded)
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]], seed)
     return out
 
 
