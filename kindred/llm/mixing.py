@@ -6,13 +6,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as V
 from ..scratch import Scratch
 
-BLOCK_BITS = 12  # ids of a block: the most rows that one window numbers
 KEY = ["no_source", "source"]
 
 
@@ -46,23 +46,31 @@ def source_targets(totals: DataFrame, weights: Sequence[int], share: float, max_
     return t.withColumn("target", F.least("cap", level * F.col("weight"))).select(*KEY, "source_size", "target")
 
 
-def _copies(u: Column) -> Column:
-    """Integers that the prefix sum of expected copies crosses at this document."""
-    return F.least(F.floor((F.col("rank") + 1) * F.col("rate") + u) - F.floor(F.col("rank") * F.col("rate") + u), F.ceil("rate"))
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the rows of each source within a sorted partition, from 0."""
+    part, last, seen = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in KEY), strict=True))
+        place = np.empty(len(keys), np.int64)
+        for i, key in enumerate(keys):
+            last, seen = key, seen + 1 if key == last else 1
+            place[i] = seen - 1
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *KEY, "size")), pa.array(np.full(len(keys), part), pa.int32()), pa.array(place)], names=["doc_id", *KEY, "size", "part", "place"])
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 0, offsets: int = 32) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for each row.
 
-    Size is the number of words, null 0.  Within a source all documents expect the same number of copies, target over
-    size; in the order (size, id), which stratifies by size, the prefix sums of expected copies plus one offset
-    are taken, and a document is emitted once for each integer crossed.  The offset comes from the seed and the
-    source's name; of ``offsets`` equally spaced ones from there, the source uses that whose words are nearest to the
-    target.  Everything is a function of the rows, so reruns agree.  Null ids and repeated rows are rows like any
-    other; an empty table or a source without words gives targets and takes of 0.
+    Size is the number of words, null 0, of texts of any length.  Within a source all documents expect the same number of
+    copies, target over size; in the order (size, id), which stratifies by size, the prefix sums of expected copies plus
+    one random offset are taken, and a document is emitted once for each integer crossed.  The offset is a hash of the
+    seed and the source's name, uniform over seeds, so every document's copies average to what it expects and reruns
+    agree.  As sizes ascend, a source's words miss its target by less than twice its longest document.  Null ids,
+    repeated rows and ties of size are rows like any other; other columns are ignored, whatever their names; an empty
+    table or a source without words gives targets and takes of 0.
 
-    Ranks are sums of three levels, so that no window holds a large source: documents before by size (a window over
-    a source's distinct sizes), before by block of ids, and the place among the at most 2**12 ids of a block.
+    Ranks are prefix sums: rows are sorted by range partitions of (source, size, id), numbered inside each, and moved up
+    by the sum of the partitions before.  A window only ever holds one row for each partition and source.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
@@ -70,26 +78,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = scratch.write(sizes.withColumn("no_source", F.col("source").isNull()).fillna("", ["source"]), "sizes")
 
     targets = source_targets(sizes.groupBy(*KEY).agg(F.sum("size").alias("source_size")), weights, share, max_repeats)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    targets = scratch.write(targets.withColumn("rate", rate), "targets")
-
-    block = F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62)))
-    placed = sizes.withColumn("block", block)
-    counted = placed.groupBy(*KEY, "size", "block").agg(F.count("*").alias("c"))
-    before = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
-    by_size = counted.groupBy(*KEY, "size").agg(F.sum("c").alias("c")).select(*KEY, "size", F.coalesce(F.sum("c").over(before(*KEY, by="size")), F.lit(0)).alias("smaller"))
-    by_block = counted.withColumn("base", F.coalesce(F.sum("c").over(before(*KEY, "size", by="block")), F.lit(0)))
-    by_block = by_block.join(by_size, [*KEY, "size"]).select(*KEY, "size", "block", (F.col("smaller") + F.col("base")).alias("base"))
-    place = F.row_number().over(Window.partitionBy(*KEY, "size", "block").orderBy("doc_id")) - 1
-    ranked = placed.withColumn("place", place).join(by_block, [*KEY, "size", "block"])
-    ranked = scratch.write(ranked.select("doc_id", *KEY, "size", (F.col("base") + F.col("place")).alias("rank")), "ranked")
-
-    joined = ranked.join(targets, KEY)
     name = F.concat(F.lit(f"{seed}/"), F.when(F.col("no_source"), "null").otherwise(F.concat(F.lit("="), F.col("source"))))
-    start = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    offset = lambda j: start + j / offsets - F.floor(start + j / offsets)
-    sums = joined.groupBy(*KEY, "target").agg(*[F.sum(_copies(offset(j)) * F.col("size")).alias(f"s{j}") for j in range(offsets)])
-    off = F.least(*[F.struct(F.abs(F.col(f"s{j}") - F.col("target")).alias("gap"), offset(j).alias("offset")) for j in range(offsets)]) if offsets > 1 else F.struct(F.lit(0.0).alias("gap"), offset(0).alias("offset"))
-    chosen = scratch.write(targets.join(sums.select(*KEY, off["offset"].alias("offset")), KEY), "offsets")
-    out = ranked.join(chosen, KEY).withColumn("copies", _copies(F.col("offset")).cast("long"))
+    offset = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = scratch.write(targets.withColumn("rate", rate).withColumn("offset", offset), "targets")
+
+    # the last key only keeps equal rows from meeting in one partition
+    ordered = sizes.withColumn("row", F.monotonically_increasing_id())
+    order = [*KEY, "size", "doc_id", "row"]
+    placed = ordered.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_places, "doc_id long, no_source boolean, source string, size long, part int, place long")
+    placed = scratch.write(placed, "placed")
+    before = Window.partitionBy(*KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed.groupBy(*KEY, "part").agg(F.count("*").alias("c")).select(*KEY, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    bases = scratch.write(bases.join(targets, KEY), "bases")
+
+    ranked = placed.join(bases, [*KEY, "part"]).withColumn("rank", F.col("base") + F.col("place"))
+    crossed = F.floor((F.col("rank") + 1) * F.col("rate") + F.col("offset")) - F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
+    out = ranked.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long"))
     return out.select("doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
