@@ -16,10 +16,13 @@ from ..shipping import ship
 from .url_filter import split_url, suffix_and_domain
 
 SLOTS = 1 << 14  # hashed byte trigrams of the text model
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
-_TAG = re.compile(r"(?s)<[^>]*>")
+UNITS = 10**6  # posteriors are summed as whole numbers of this part, so sums do not depend on their order
+_OPENING = re.compile(r"<(?:(script|style|noscript|template)\b|!--)", re.I | re.A)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in ("script", "style", "noscript", "template")} | {None: re.compile("-->")}
+_TAG = re.compile(r"<[^>]*>")
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9A-Fa-f]+|\w+);")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
+_HTML = re.compile(r"<html\b", re.I | re.A)
+_LANG = re.compile(r"""\blang\s*=\s*(?:["']\s*)?([a-z]{2,3})\b""", re.I | re.A)
 
 
 def trigram_slots(data: np.ndarray) -> np.ndarray:
@@ -44,12 +47,17 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(counts[slot], pa.int64())], names=["lang", "slot", "c"])
 
 
-def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, max_languages: int = 256) -> tuple[list[str], np.ndarray]:
     """Languages in order and their log-likelihoods, one row of SLOTS each, from all labelled rows.
 
-    Counts are combined in each task and by grouped aggregation; languages times SLOTS sums reach the driver.
+    Rows with a null text or language teach nothing; empty texts only name their language; repeated rows count as often
+    as they occur; texts of any length are read whole; an empty table gives an empty model.  Counts are combined in each
+    task and by grouped aggregation; languages times SLOTS sums reach the driver, so a table of more than
+    ``max_languages`` languages is an error: such a column must be cleaned first.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     ship(labelled.sparkSession)
     sums = rows.mapInArrow(_trigram_counts, "lang string, slot int, c long").groupBy("lang", "slot").agg(F.sum("c").alias("c")).groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("c").alias("counts")).orderBy("lang").collect()
     table = np.full((len(sums), SLOTS), smoothing)
@@ -58,8 +66,36 @@ def train_text_model(labelled: DataFrame, text_col: str = "text", lang_col: str
     return [r.lang for r in sums], np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def _without_hidden(html: str) -> str:
+    """Comments and elements that are never shown, each as a blank; those that are not closed stay."""
+    parts, at, look, missing = [], 0, 0, set()
+    while opening := _OPENING.search(html, look):
+        name = opening[1] and opening[1].lower()
+        closing = None if name in missing else _CLOSING[name].search(html, opening.end())
+        if closing is None:  # nor is there one further on
+            missing.add(name)
+            look = opening.end()
+        else:
+            parts += [html[at : opening.start()], " "]
+            at = look = closing.end()
+    return "".join([*parts, html[at:]])
+
+
 def visible_text(html: str) -> str:
-    return _ENTITY.sub(" ", _TAG.sub(" ", _HIDDEN.sub(" ", html)))
+    """What remains without hidden elements, tags and entities, in time linear in the length of any input."""
+    html = _without_hidden(html)
+    last = html.rfind(">") + 1  # no tag ends behind it
+    return _ENTITY.sub(" ", _TAG.sub(" ", html[:last]) + html[last:])
+
+
+def declared_language(html: str) -> str | None:
+    """``lang`` of the first html tag, its first two or three letters in lower case."""
+    tag = _HTML.search(html)
+    if not tag:
+        return None
+    end = html.find(">", tag.end())
+    found = _LANG.search(html, tag.end(), end if end >= 0 else len(html))
+    return found[1].lower() if found else None
 
 
 def _evidence(model: np.ndarray, weight: float):
@@ -67,8 +103,7 @@ def _evidence(model: np.ndarray, weight: float):
         for batch in V.slices(batches, "html"):
             likelihood, declared = [], []
             for html in batch.column("html").to_pylist():
-                found = _DECLARED.search(html or "")
-                declared.append(found[1].lower() if found else None)
+                declared.append(declared_language(html or ""))
                 slots = trigram_slots(np.frombuffer(visible_text(html or "").encode(), np.uint8))
                 score = model[:, slots].sum(axis=1) * weight
                 likelihood.append((score - score.max()).tolist() if len(score) else [])
@@ -91,9 +126,12 @@ def identify_language(pages: DataFrame, model: tuple[list[str], np.ndarray], id_
     language that the markup declares; the address suffix; and the prior of the host.  The likelihoods of the last
     three are learned from all pages: each page counts with its text-only posterior, grouped by declared language, by
     suffix, and by host, registered domain and everything; a host's shares are shrunk towards its domain's and those
-    towards the overall ones with the weight of ``strength`` pages, leaving out the page that is judged.  Null html
-    has no text evidence, null urls belong to the empty host, a missing declaration is a value of its own.  Rows with
-    a null id and repeated rows are judged like any other; no pages or an empty model give no rows.
+    towards the overall ones with the weight of ``strength`` pages, leaving out the page that is judged.  Null and
+    empty html has no text evidence, null urls belong to the empty host, a missing declaration is a value of its own.
+    Rows with a null id and repeated rows are judged like any other; of equally likely languages the first by name wins;
+    html of any length is read whole, in linear time; other columns are ignored, whatever their names; no pages or an
+    empty model give no rows.  ``probability`` is rounded to nine places; posteriors are summed in whole UNITS, so
+    reruns agree.
     """
     languages, table = model
     spark = pages.sparkSession
@@ -107,16 +145,16 @@ def identify_language(pages: DataFrame, model: tuple[list[str], np.ndarray], id_
     every = range(len(languages))
     q = [f"q{i}" for i in every]
     text = [F.col("text_ll")[i] for i in every]
-    seen = seen.select("page_id", host.alias("host"), F.coalesce("declared", F.lit("")).alias("declared"), "text_ll", *[p.alias(n) for p, n in zip(_softmax(text), q, strict=True)])
+    seen = seen.select("page_id", host.alias("host"), F.coalesce("declared", F.lit("")).alias("declared"), "text_ll", *[F.round(p * UNITS).cast("long").alias(n) for p, n in zip(_softmax(text), q, strict=True)])
     seen = scratch.write(seen, "evidence")
 
     sums = [F.sum(c).alias(c) for c in q]
     of_all = seen.agg(F.count("*").alias("n"), *sums).first()
-    base = [(of_all[c] or 0.0) / of_all.n if of_all.n else 0.0 for c in q]
+    base = [(of_all[c] or 0) / UNITS / of_all.n if of_all.n else 0.0 for c in q]
     base = [(b + 1e-6) / (1 + 1e-6 * len(q)) for b in base]
 
     def shrunk(own: list[Column], n: Column, above: list[Column]) -> list[Column]:
-        return [(o + strength * a) / (n + strength) for o, a in zip(own, above, strict=True)]
+        return [(o / F.lit(float(UNITS)) + strength * a) / (n + strength) for o, a in zip(own, above, strict=True)]
 
     def likelihood(df: DataFrame, prefix: str) -> DataFrame:
         """log P(value | language) up to a term that is the same for all languages."""
@@ -134,7 +172,7 @@ def identify_language(pages: DataFrame, model: tuple[list[str], np.ndarray], id_
     hosts = scratch.write(hosts.select("host", "n", "dn", *[F.col(c).alias(f"h{c}") for c in q], *[f"d{c}" for c in q], *[f"s{i}" for i in every]), "hosts")
 
     joined = seen.join(hosts, "host").join(said, "declared")
-    less = lambda p: [F.greatest(F.col(f"{p}{c}") - F.col(c), F.lit(0.0)) for c in q]
+    less = lambda p: [F.greatest(F.col(f"{p}{c}") - F.col(c), F.lit(0)) for c in q]
     above = shrunk(less("d"), F.col("dn") - 1, [F.lit(b) for b in base])
     prior = shrunk(less("h"), F.col("n") - 1, above)
     scores = [text[i] + F.col(f"d{i}") + F.col(f"s{i}") + F.log(prior[i]) for i in every]
@@ -142,4 +180,4 @@ def identify_language(pages: DataFrame, model: tuple[list[str], np.ndarray], id_
     own = F.array_max(F.array(*[F.struct(F.col(c).alias("p"), F.lit(-i).alias("i")) for i, c in enumerate(q)]))
     name = lambda at: F.element_at(F.array(*[F.lit(x) for x in languages]), 1 - at)
     out = joined.withColumn("best", best)
-    return out.select("page_id", "host", F.nullif("declared", F.lit("")).alias("declared"), name(F.col("best.i")).alias("lang"), F.col("best.p").alias("probability"), name(own["i"]).alias("text_lang"))
+    return out.select("page_id", "host", F.nullif("declared", F.lit("")).alias("declared"), name(F.col("best.i")).alias("lang"), F.round("best.p", 9).alias("probability"), name(own["i"]).alias("text_lang"))
