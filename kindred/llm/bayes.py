@@ -24,10 +24,12 @@ def fit_beta(groups: DataFrame) -> tuple[float, float]:
     return p, 1 / min(max(rho, RHO[0]), RHO[1]) - 1
 
 
-def lower_bound(k: Column, n: Column, mean: Column, concentration: float, z: float) -> Column:
-    """z posterior standard deviations below the posterior mean of a rate."""
-    a, b = k + mean * concentration, n - k + (F.lit(1.0) - mean) * concentration
-    total = a + b
-    return a / total - F.lit(float(z)) * F.sqrt(a * b / (total * total * (total + 1)))
+def shrunk(k: Column, n: Column, mean: Column | float, concentration: float) -> Column:
+    """Posterior mean of a rate."""
+    return (k + mean * F.lit(concentration)) / (n + F.lit(concentration))
 
 
+def bound(k: Column, n: Column, mean: Column | float, concentration: float, z: float) -> Column:
+    """z posterior standard deviations above the posterior mean of a rate; below it for z < 0."""
+    rate = shrunk(k, n, mean, concentration)
+    return rate + F.lit(float(z)) * F.sqrt(rate * (F.lit(1.0) - rate) / (n + F.lit(concentration + 1)))

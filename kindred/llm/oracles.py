@@ -40,9 +40,9 @@ def _fit(name: str, groups: str) -> str:
     ELSE 1 / least(greatest(((kk - k / n * k) / (k / n * (1 - k / n)) - (j - 1)) / (n - n2 / n - (j - 1)), 1e-3::DOUBLE), 0.5::DOUBLE) - 1 END AS weight FROM {name}_sums)"""
 
 
-def _lower(k: str, n: str, mean: str, weight: str, z: float) -> str:
-    a, b = f"({k} + {mean} * {weight})", f"({n} - {k} + (1 - {mean}) * {weight})"
-    return f"({a} / ({a} + {b}) - {z}::DOUBLE * sqrt({a} * {b} / (({a} + {b}) * ({a} + {b}) * ({a} + {b} + 1))))"
+def _bound(k: str, n: str, mean: str, weight: str, z: float) -> str:
+    rate = f"(({k} + {mean} * {weight}) / ({n} + {weight}))"
+    return f"({rate} + ({z})::DOUBLE * sqrt({rate} * (1 - {rate}) / ({n} + {weight} + 1)))"
 
 
 def _rules() -> tuple[str, str]:
@@ -68,8 +68,8 @@ WITH
   middle AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM level GROUP BY ALL),{_fit('fit1', 'above')},{_fit('fit2', 'middle')},{_fit('fit3', 'level')},
   suffixes AS (SELECT suffix, (k + mean * weight) / (n + weight) AS suffix_rate FROM above, fit1),
   domains AS (SELECT suffix, domain, (k + suffix_rate * weight) / (n + weight) AS domain_rate FROM middle JOIN suffixes USING (suffix), fit2),
-  known AS (SELECT host, n, {_lower('k', 'n', 'domain_rate', 'weight', 1.645)} AS bound FROM level JOIN domains USING (suffix, domain), fit3)
-SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, n AS n_outcomes
+  known AS (SELECT host, n, {_bound('k', 'n', 'domain_rate', 'weight', 1.645)} AS bound FROM level JOIN domains USING (suffix, domain), fit3)
+SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, n AS n_outcomes, round(bound, 6) AS bad_rate_bound
 FROM page JOIN known USING (host)
 """
 
@@ -94,11 +94,12 @@ WITH
   dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM line WHERE regexp_matches(line, {WORDS}) GROUP BY doc_id),
   base AS (SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[{SYMBOLS.decode()}]')) AS n_symbols,
            coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN repeated USING (doc_id)),
-  judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
-  host AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS k FROM judged GROUP BY source),{_fit('fit', 'host')},
-  bound AS (SELECT source, {_lower('k', 'n', 'mean', 'weight', 3.0)} AS bound FROM host, fit)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bound <= 0.5 AS kept
-FROM judged j JOIN bound b ON j.source IS NOT DISTINCT FROM b.source
+  ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+  judged AS (SELECT *, NOT base_failed AND (100 * n_symbols > 10 * n_words OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS borderline FROM ruled),
+  host AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR borderline) AS k FROM judged GROUP BY source),{_fit('fit', 'host')},
+  verdict AS (SELECT source, CASE WHEN {_bound('k', 'n', 'mean', 'weight', -3.0)} > 0.5 THEN 'reject' WHEN (k + mean * weight) / (n + weight) > mean * 1.01::DOUBLE THEN 'strict' ELSE 'lenient' END AS host_verdict FROM host, fit)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, borderline, host_verdict, NOT base_failed AND host_verdict <> 'reject' AND NOT (borderline AND host_verdict = 'strict') AS kept
+FROM judged j JOIN verdict v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 OP8 = rf"""
@@ -112,10 +113,8 @@ WITH
   r AS (SELECT doc_id, size, g.*, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END::DOUBLE AS rate, row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id) - 1 AS rank,
         ('0x' || substr(md5('0/' || CASE WHEN d.source IS NULL THEN 'null' ELSE '=' || d.source END), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start
         FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-  u AS (SELECT r.*, j, start + j / 32.0::DOUBLE - floor(start + j / 32.0::DOUBLE) AS off FROM r, (SELECT unnest(range(0, 32)) AS j)),
-  c AS (SELECT *, least(floor((rank + 1) * rate + off) - floor(rank * rate + off), ceil(rate)) AS copies FROM u),
-  best AS (SELECT source, arg_min(off, (gap, off)) AS off FROM (SELECT source, off, abs(sum(copies * size) - any_value(target)) AS gap FROM c GROUP BY source, off) GROUP BY source)
-SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken FROM c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.off = b.off
+  c AS (SELECT *, least(floor((rank + 1) * rate + start) - floor(rank * rate + start), ceil(rate)) AS copies FROM r)
+SELECT doc_id, size::BIGINT AS size, source_size, target, (copies * size)::BIGINT AS taken FROM c
 """
 
 OP10 = rf"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .bayes import fit_beta, lower_bound
+from .bayes import bound, fit_beta, shrunk
 from ..scratch import Scratch
 
 SYMBOLS = b"#*$%&|<>"
@@ -66,26 +66,35 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), *(pa.array(x, pa.int64()) for x in counts.values())], names=["doc_id", "host", *counts])
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_host_rate: float = 0.5, z: float = 3.0) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate_bound, kept).
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, max_symbol_percent: int = 10, word_chars: tuple[int, int] = (3, 10), strict_margin: float = 0.01, max_host_rate: float = 0.5, z: float = 3.0) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, borderline, host_verdict, kept).
 
-    A document fails with fewer than ``min_words`` words or with more than ``max_repeat_percent`` of its words in
-    3-word windows that occur again in it.  Failures are counted by host; each host's rate is shrunk towards all
-    hosts by a beta prior fitted to their rates; a host is rejected, with all its documents, when the rate is above
-    ``max_host_rate`` by ``z`` posterior standard deviations.  Null hosts form one host of their own.  Null texts are
-    empty and fail; null ids come out as they are; repeated rows are judged one by one; an empty table gives no rows.
-    Counts are combined before the shuffle and verdicts come back by a join that Spark can split, so one host may
-    hold any share of the rows.
+    A document fails with fewer than ``min_words`` words or with more than ``max_repeat_percent`` of its words in 3-word
+    windows that occur again in it.  It is borderline if it does not fail, but has more symbols than ``max_symbol_percent``
+    of its words or words whose mean length is outside ``word_chars``.  Documents that fail or are borderline are counted
+    by host, and each host's rate of them is shrunk towards all hosts by a beta prior fitted to their rates.  The host's
+    verdict comes back to its documents: ``reject``, and all of them go, where its rate is above ``max_host_rate`` by
+    ``z`` posterior standard deviations; ``strict``, and borderline ones go, where its shrunk rate is above the prior
+    mean by more than the part ``strict_margin``; else ``lenient``.
+
+    Null hosts form one host of their own.  Null texts are empty and fail; texts of any length are judged whole; null ids
+    come out as they are; repeated rows are judged one by one; other columns are ignored, whatever their names; an empty
+    table gives no rows.  Counts are combined before the shuffle and verdicts come back by a join that Spark can split,
+    so one host may hold any share of the rows.
     """
     scratch = Scratch(docs.sparkSession, "quality-rules")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     stats = rows.mapInArrow(_statistics, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    stats = stats.withColumn("base_failed", failed).withColumn("no_host", F.col("host").isNull()).fillna("", ["host"])
+    n, low, high = F.col("n_words"), *word_chars
+    failed = (n < min_words) | (F.col("n_repeat_words") * 100 > n * max_repeat_percent)
+    odd = (F.col("n_symbols") * 100 > n * max_symbol_percent) | (F.col("word_chars") < n * low) | (F.col("word_chars") > n * high)
+    stats = stats.withColumn("base_failed", failed).withColumn("borderline", ~F.col("base_failed") & odd).withColumn("no_host", F.col("host").isNull()).fillna("", ["host"])
     stats = scratch.write(stats, "statistics")
 
-    hosts = scratch.write(stats.groupBy("no_host", "host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("k")), "hosts")
+    hosts = scratch.write(stats.groupBy("no_host", "host").agg(F.count("*").alias("n"), F.count_if(F.col("base_failed") | F.col("borderline")).alias("k")), "hosts")
     mean, concentration = fit_beta(hosts)
-    bound = lower_bound(F.col("k"), F.col("n"), F.lit(mean), concentration, z)
-    verdicts = scratch.write(hosts.select("no_host", "host", bound.alias("host_rate_bound")), "verdicts")
-    return stats.join(verdicts, ["no_host", "host"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate_bound", (~F.col("base_failed") & (F.col("host_rate_bound") <= max_host_rate)).alias("kept"))
+    k, n = F.col("k"), F.col("n")
+    verdict = F.when(bound(k, n, mean, concentration, -z) > max_host_rate, "reject").when(shrunk(k, n, mean, concentration) > mean * (1 + strict_margin), "strict").otherwise("lenient")
+    verdicts = scratch.write(hosts.select("no_host", "host", verdict.alias("host_verdict")), "verdicts")
+    kept = ~F.col("base_failed") & (F.col("host_verdict") != "reject") & ~((F.col("host_verdict") == "strict") & F.col("borderline"))
+    return stats.join(verdicts, ["no_host", "host"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "borderline", "host_verdict", kept.alias("kept"))

@@ -32,17 +32,14 @@ def op1_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    found = exact_dedup(docs)
-    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")).distinct()  # rows of one id are repeats
-    return found.join(digest, "doc_id").select("doc_id", "keep_id", "group_size", "kept", F.coalesce("full_hash", "digest").alias("text_sha256"))
+    return exact_dedup(read_table(spark, sf_dir, "documents"), all_hashes=True).withColumnRenamed("full_hash", "text_sha256")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the labels table is the only labelled one, and its ids are taken as page ids; a page is bad if its
     label is toxic or of low quality."""
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
-    return url_filter(read_table(spark, sf_dir, "pages"), labels, RULES).drop("bad_rate_bound")
+    return url_filter(read_table(spark, sf_dir, "pages"), labels, RULES).withColumn("bad_rate_bound", F.round("bad_rate_bound", 6))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +47,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read_table(spark, sf_dir, "documents")).drop("host_rate_bound")
+    """The hosts are the values of ``source``, the only thing the table says about where a document is from."""
+    return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

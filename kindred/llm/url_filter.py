@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bayes import fit_beta, lower_bound
+from ..scratch import Scratch
+from .bayes import bound, fit_beta, shrunk
 
 # Public suffixes of two labels that registries sell under.
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "net.au", "org.au", "org.uk")
@@ -49,41 +50,49 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
     return F.when(two, last_two).otherwise(last), F.when(two, three).otherwise(last_two)
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(hosts: DataFrame, outcomes: DataFrame, scratch: Scratch, z: float = 1.645) -> DataFrame:
     """(host, n, bad_rate_bound) for each row of hosts(host) from outcomes(host, bad boolean).
 
     Counts at each level are shrunk towards the level above: all outcomes, then public suffix, registered domain
     and host, with one concentration for each level, fitted by moments.  A host without outcomes has its domain's
-    rate.  The bound lies ``z`` posterior standard deviations below the posterior mean.
+    rate.  The bound lies ``z`` posterior standard deviations above the posterior mean.
     """
     tree = hosts.select("host", *[c.alias(n) for c, n in zip(suffix_and_domain(F.col("host")), ("suffix", "domain"), strict=True)])
     counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"))
-    level = tree.join(counted, "host", "left").fillna(0, ["n", "k"])
-    above = level.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    level = scratch.write(tree.join(counted, "host", "left").fillna(0, ["n", "k"]), "host-counts")
+    middle = scratch.write(level.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domain-counts")
+    above = middle.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    k, n = F.col("k"), F.col("n")
     mean, weight = fit_beta(above)
-    suffixes = above.select("suffix", ((F.col("k") + mean * weight) / (F.col("n") + weight)).alias("suffix_rate"))
-    middle = level.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    suffixes = above.select("suffix", shrunk(k, n, mean, weight).alias("suffix_rate"))
     _, weight = fit_beta(middle)
-    domains = middle.join(suffixes, "suffix").select("suffix", "domain", ((F.col("k") + F.col("suffix_rate") * weight) / (F.col("n") + weight)).alias("domain_rate"))
+    domains = middle.join(suffixes, "suffix").select("suffix", "domain", shrunk(k, n, F.col("suffix_rate"), weight).alias("domain_rate"))
     _, weight = fit_beta(level)
-    return level.join(domains, ["suffix", "domain"]).select("host", "n", lower_bound(F.col("k"), F.col("n"), F.col("domain_rate"), weight, z).alias("bad_rate_bound"))
+    return level.join(domains, ["suffix", "domain"]).select("host", "n", bound(k, n, F.col("domain_rate"), weight, z).alias("bad_rate_bound"))
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_bad_rate: float = 0.5, z: float = 1.645) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_bad_rate: float = 0.3, z: float = 1.645) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_outcomes, bad_rate_bound) for each page.
 
-    outcomes: (page_id, bad boolean) of labelled pages; null labels and unknown pages are ignored.  The verdict is
-    that of the longest fitting rule, otherwise ``block`` where the host's bound is above ``max_bad_rate``, otherwise
-    ``allow``.  Null urls and urls without ``://`` have an empty host and path, no rule, and the reputation of the
-    empty host.  Repeated rows come out as often as they go in; no pages give no rows; no outcomes block nothing.
+    outcomes: (page_id, bad boolean) of labelled pages; null labels and unknown pages are ignored, and an outcome counts
+    once for each host that rows of its page id name, however often they repeat.  The verdict is that of the longest
+    fitting rule.  Otherwise a host must be good with confidence: ``block`` where the upper posterior bound of its bad
+    rate is above ``max_bad_rate``, else ``allow``.  Without any outcome nothing is known, and nothing is blocked.  Null
+    urls and urls without ``://`` have an empty host and path, no rule, and the reputation of the empty host.  Urls of
+    any length are read whole; rows with a null id and repeated rows come out as often as they go in; other columns are
+    ignored, whatever their names; no pages give no rows.
 
     Only (id, url) are read.  Hosts are counted with map-side combining and judged once each; judgements return by
     a join on the host, whose large keys Spark can split.
     """
+    scratch = Scratch(pages.sparkSession, "url-filter")
     host, path = split_url(F.col(url_col))
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    labelled = outcomes.select(F.col("page_id").cast("long"), "bad").join(pages.select("page_id", "host"), "page_id").select("host", "bad")
-    known = host_reputation(pages.select("host").distinct(), labelled, z)
+    named = pages.select("page_id", "host").distinct()
+    labelled = outcomes.select(F.col("page_id").cast("long"), "bad").where("bad is not null").join(named, "page_id").select("host", "bad")
+    known = scratch.write(host_reputation(pages.select("host").distinct(), labelled, scratch, z), "hosts")
+    limit = max_bad_rate if known.where("n > 0").limit(1).count() else float("inf")
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bad_rate_bound") > max_bad_rate, "block").otherwise("allow")
-    return pages.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("n_outcomes"), "bad_rate_bound")
+    own = F.when(F.col("bad_rate_bound") > limit, "block").otherwise("allow")
+    out = pages.join(known, "host", "left")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("n_outcomes"), "bad_rate_bound")

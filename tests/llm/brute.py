@@ -99,18 +99,24 @@ def fit_beta(groups):
     return p, 1 / min(max(rho, 1e-3), 0.5) - 1
 
 
-def host_bounds(failures, z=3.0):
-    """failures: [(host, failed)] -> {host: lower bound of its rate}."""
+def posterior(k, n, mean, weight, z):
+    rate = (k + mean * weight) / (n + weight)
+    return rate + z * math.sqrt(rate * (1 - rate) / (n + weight + 1))
+
+
+def kept_by_quality(docs):
+    """docs: [(id, text, host)] -> {id: (base_failed, borderline, verdict of the host, kept)}."""
+    judged = {}
+    for i, text, _ in docs:
+        n, chars, symbols, _, _, failed = quality(text)
+        judged[i] = failed, not failed and (symbols * 100 > n * 10 or not 3 * n <= chars <= 10 * n)
     counts = defaultdict(lambda: [0, 0])
-    for host, failed in failures:
-        counts[host][0] += failed
+    for i, _, host in docs:
+        counts[host][0] += any(judged[i])
         counts[host][1] += 1
     mean, weight = fit_beta([tuple(c) for c in counts.values()])
-    out = {}
-    for host, (k, n) in counts.items():
-        a, b = k + mean * weight, n - k + (1 - mean) * weight
-        out[host] = a / (a + b) - z * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
-    return out
+    verdict = {h: "reject" if posterior(k, n, mean, weight, -3.0) > 0.5 else "strict" if posterior(k, n, mean, weight, 0) > mean * 1.01 else "lenient" for h, (k, n) in counts.items()}
+    return {i: (*judged[i], verdict[h], not judged[i][0] and verdict[h] != "reject" and not (judged[i][1] and verdict[h] == "strict")) for i, _, h in docs}
 
 
 def source_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -131,7 +137,7 @@ def source_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     return target
 
 
-def mixture(docs, seed=0, offsets=32):
+def mixture(docs, seed=0):
     """docs: [(id, text, source)] -> {id: (size, source_size, target, copies)}; ids are unique."""
     by_source = defaultdict(list)
     for i, text, source in docs:
@@ -142,16 +148,7 @@ def mixture(docs, seed=0, offsets=32):
     for s, rows in by_source.items():
         rows.sort()
         rate = targets[s] / sizes[s] if sizes[s] else 0.0
-        start = int(hashlib.md5((f"{seed}/" + ("null" if s is None else f"={s}")).encode()).hexdigest()[:8], 16) / float(1 << 32)
-
-        def taken(u, rows=rows, rate=rate):
-            return [min(math.floor((k + 1) * rate + u) - math.floor(k * rate + u), math.ceil(rate)) for k in range(len(rows))]
-
-        choices = []
-        for j in range(offsets):
-            u = start + j / offsets - math.floor(start + j / offsets)
-            copies = taken(u)
-            choices.append((abs(sum(c * n for c, (n, _) in zip(copies, rows, strict=True)) - targets[s]), u, copies))
-        copies = min(choices, key=lambda x: x[:2])[2]
-        out |= {i: (n, sizes[s], targets[s], c) for c, (n, i) in zip(copies, rows, strict=True)}
+        u = int(hashlib.md5((f"{seed}/" + ("null" if s is None else f"={s}")).encode()).hexdigest()[:8], 16) / float(1 << 32)
+        for k, (n, i) in enumerate(rows):
+            out[i] = (n, sizes[s], targets[s], min(math.floor((k + 1) * rate + u) - math.floor(k * rate + u), math.ceil(rate)))
     return out

@@ -18,9 +18,8 @@ from ..test_queries import DATA, TABLES, rows
 
 def test_run_equals_the_plain_stages(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    failed = {i: brute.quality(r.text)[5] for i, r in docs.items()}
-    bounds = brute.host_bounds([(r.source, failed[i]) for i, r in docs.items()])
-    docs = {i: r for i, r in docs.items() if not failed[i] and bounds[r.source] <= 0.5}
+    kept = brute.kept_by_quality([(i, r.text, r.source) for i, r in docs.items()])
+    docs = {i: r for i, r in docs.items() if kept[i][3]}
     docs = {i: docs[i] for i, (keep, _) in brute.exact({i: r.text for i, r in docs.items()}).items() if keep == i}
     docs = {i: docs[i] for i, (_, c) in brute.near_components({i: r.text for i, r in docs.items()}).items() if c == i}
     mixed = brute.mixture([(i, r.text, r.source) for i, r in docs.items()])
