@@ -14,9 +14,13 @@ def node_token(disc: Column, data: Column, n_children: Column) -> Column:
     return F.concat(disc, F.lit(":"), data, F.lit(":"), n_children.cast("string"))
 
 
-def composite(fingerprints: Column) -> Column:
-    """Of a group: independent of order, repeated fingerprints count."""
-    return fingerprint(F.array_join(F.array_sort(fingerprints), ","))
+def composite(fingerprint_col: str) -> Column:
+    """Aggregate: one fingerprint for a group, from the exact sum of its members' and their number.
+
+    Independent of order, repeated fingerprints count, and partial sums are combined before any shuffle.
+    """
+    total = F.sum(F.conv(fingerprint_col, 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    return fingerprint(F.concat_ws(",", F.count("*").cast("string"), total.cast("string")))
 
 
 def parse_hex(text: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import MEMBER_FIELDS
+from ..scratch import Scratch
+from .ranks import with_rank
 
 
 def member() -> F.Column:
@@ -18,19 +20,33 @@ def exact_sizes(units: DataFrame) -> DataFrame:
 
 
 def exact_members(units: DataFrame) -> DataFrame:
-    """One row for each member of a group.  Nothing is gathered: a group may have any size, and the join can be split."""
-    return units.select("fingerprint", *MEMBER_FIELDS).join(exact_sizes(units), "fingerprint")
+    """One row for each member of a group: (fingerprint, similarity, n_members, member fields).
+
+    Nothing is gathered: a group may have any size, and the join can be split.
+    """
+    rows = units.select("fingerprint", *MEMBER_FIELDS).join(exact_sizes(units), "fingerprint")
+    return rows.select("fingerprint", F.lit(1.0).alias("similarity"), "n_members", *MEMBER_FIELDS)
+
+
+def gathered(members: DataFrame) -> DataFrame:
+    """(fingerprint, similarity, n_members, members) of member rows, members by unit id: whole groups in one row each,
+    for who wants a group as one value."""
+    return members.groupBy("fingerprint").agg(F.first("similarity").alias("similarity"), F.first("n_members").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"))
 
 
 def exact_groups(units: DataFrame) -> DataFrame:
-    """(fingerprint, similarity, n_members, members), members by unit id: the form that reports show."""
-    groups = exact_members(units).groupBy("fingerprint").agg(F.first("n_members").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"))
-    return groups.select("fingerprint", F.lit(1.0).alias("similarity"), "n_members", "members")
+    return gathered(exact_members(units))
+
 
+def ordinals(groups: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """Adds ``ordinal``: larger groups first, then the more similar, then by fingerprint.  One row or many for a group.
 
-def ordinals(groups: DataFrame) -> DataFrame:
-    """Adds ``ordinal``: larger groups first, then the more similar, then by fingerprint."""
-    return groups.withColumn("ordinal", F.row_number().over(Window.orderBy(F.desc("n_members"), F.desc("similarity"), "fingerprint")))
+    Only the three columns that decide are sorted, once for each group and in range partitions.
+    """
+    scratch = scratch or Scratch(groups.sparkSession, "ordinals")
+    order = [F.desc("n_members"), F.desc("similarity"), F.asc("fingerprint")]
+    ranks = with_rank(groups.select("fingerprint", "n_members", "similarity").distinct(), order, "rank", scratch)
+    return groups.join(ranks.select("fingerprint", (F.col("rank") + 1).alias("ordinal")), "fingerprint").select(*groups.columns, "ordinal")
 
 
 def live_fingerprints(*groups: DataFrame) -> DataFrame:

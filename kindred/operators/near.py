@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fingerprints import composite
 from ..functions.similarity import dice, match_count, size_bucket
+from ..schema import MEMBER_FIELDS
 from ..scratch import Scratch
+from .cells import judged_in_cells
 from .components import components
-from .exact import exact_sizes, member
+from .exact import exact_sizes, gathered
 
 
 def near_candidates(units: DataFrame) -> DataFrame:
@@ -25,70 +29,102 @@ def _sides(candidates: DataFrame) -> DataFrame:
     return with_bucket(candidates).select("unit_id", "kind", "bucket", "body_count", F.col("body_keys").alias("keys"))
 
 
-def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
-    score = dice(match_count(F.col("l.keys"), F.col("r.keys")), F.col("l.body_count"), F.col("r.body_count"))
-    return pairs.select(F.col("l.unit_id").alias("a"), F.col("r.unit_id").alias("b"), score.alias("score")).where(F.col("score") >= threshold)
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64())])
 
 
-_SAME_BUCKET = "l.kind <=> r.kind AND l.bucket = r.bucket AND l.unit_id < r.unit_id"
+def _passing(threshold: float):
+    """Pairs of a cell whose Dice score passes; two empty trees are equal."""
 
+    def judge(a: dict, b: dict, shared: np.ndarray, alone: bool) -> pa.Table:
+        total = a["body_count"].astype(np.int64)[:, None] + b["body_count"].astype(np.int64)[None, :]
+        score = np.where(total > 0, 2.0 * shared / np.maximum(total, 1), 1.0)
+        passes = score >= threshold
+        i, j = np.nonzero(np.triu(passes, 1) if alone else passes)
+        one, two = a["unit_id"][i], b["unit_id"][j]
+        return pa.table([np.minimum(one, two), np.maximum(one, two), score[i, j]], schema=_PAIRS)
 
-def _can_reach(threshold: float) -> F.Column:
-    """Sizes, and keys that anyone else has, allow the score.  The slack keeps rounding from losing a pair."""
-    return F.least(F.size("l.keys"), F.size("r.keys")) * 2.0 >= (F.col("l.body_count") + F.col("r.body_count")) * threshold - 1e-9
+    return judge
 
 
-def _meet_in_buckets(side: DataFrame, threshold: float, salts: int = 8) -> DataFrame:
-    """All pairs of a bucket.  Buckets are few and large, so each is dealt out over ``salts`` parts of its left side."""
-    left = side.withColumn("salt", F.pmod("unit_id", F.lit(salts)))
-    right = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return _scored(left.alias("l").join(right.alias("r"), F.expr(_SAME_BUCKET + " AND l.salt = r.salt") & _can_reach(threshold)), threshold)
-
-
-def bucket_pairs(candidates: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, score) by comparing all pairs of a bucket: for thresholds that pairs without common keys reach."""
-    return _meet_in_buckets(_sides(candidates), threshold)
+def bucket_pairs(candidates: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
+    """(a, b, score) by judging all pairs of a bucket whose sizes allow the score, in cells of bounded size."""
+    ratio = (2 - threshold) / threshold if 0 < threshold <= 1 else None
+    return judged_in_cells(_sides(candidates), ("kind", "bucket"), ("unit_id", "body_count"), "body_count", ratio, _passing(threshold), "a long, b long, score double", scratch or Scratch(candidates.sparkSession, "cells"))
 
 
 def prefix_index(candidates: DataFrame, threshold: float) -> DataFrame:
     """Candidates that can have a partner: (unit_id, kind, bucket, body_count, keys, first).
 
     ``keys`` are those that another candidate of the bucket has, rarest first; no others can match.  Two sets of sizes
-    n and m with a Dice score of t share a key among the first ``n - ceil(n t / (2 - t)) + 1`` of each; ``first`` says
-    how many of ``keys`` that is.
+    n and m with a Dice score of t share a key among the first ``n - ceil(t (n + least) / 2) + 1`` of each, ``least``
+    being the least size that m can have: ``n t / (2 - t)``, and no less than the bucket's smallest.  ``first`` says how
+    many of ``keys`` that is.
     """
     side = _sides(candidates)
     keyed = side.select("unit_id", "kind", "bucket", F.explode("keys").alias("key"))
     rarity = keyed.groupBy("kind", "bucket", "key").agg(F.count("*").alias("df")).where("df > 1")
     held = keyed.alias("k").join(rarity.alias("r"), F.expr("k.kind <=> r.kind AND k.bucket = r.bucket AND k.key = r.key")).groupBy("k.unit_id").agg(F.array_sort(F.collect_list(F.struct("r.df", "k.key"))).alias("held"))
-    first = F.floor(F.col("body_count") - F.col("body_count") * threshold / (2 - threshold) + 1 + 1e-9) - (F.col("body_count") - F.size("held"))
-    index = side.drop("keys").join(held, "unit_id").withColumn("first", F.least(first, F.size("held")).cast("int"))
-    return index.withColumn("keys", F.transform("held", lambda x: x["key"])).drop("held").where("first > 0")
+    smallest = side.groupBy(F.col("kind").alias("own"), F.col("bucket").alias("in")).agg(F.min("body_count").alias("smallest"))
+    sized = side.drop("keys").join(smallest, F.expr("kind <=> own AND bucket = in")).drop("own", "in")
+    least = F.greatest(F.col("body_count") * threshold / (2 - threshold), F.col("smallest"))
+    alone = F.col("body_count") - F.size("held")
+    first = F.floor(F.col("body_count") - (F.col("body_count") + least) * threshold / 2 + 1 + 1e-9) - alone
+    index = sized.join(held, "unit_id").withColumn("first", F.least(first, F.size("held")).cast("int"))
+    return index.select("unit_id", "kind", "bucket", "body_count", F.transform("held", lambda x: x["key"]).alias("keys"), "first").where("first > 0")
+
+
+def _posted(index: DataFrame) -> DataFrame:
+    """Entries of the index; only prefixes travel, with the number of keys behind them."""
+    rows = index.select("unit_id", "kind", "bucket", "body_count", F.size("keys").alias("held"), "first", F.slice("keys", 1, F.greatest("first", F.lit(0))).alias("pre"))
+    return rows.withColumn("key", F.explode("pre"))
 
 
 def index_pairs(index: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that meet in the index; each is made once, at its first common key."""
-    posted = index.withColumn("key", F.explode(F.slice("keys", 1, F.col("first"))))
-    first_met = F.expr("try_element_at(array_intersect(slice(l.keys, 1, l.first), slice(r.keys, 1, r.first)), 1) = l.key")
-    return _scored(posted.alias("l").join(posted.alias("r"), F.expr(_SAME_BUCKET + " AND l.key = r.key") & _can_reach(threshold) & first_met), threshold)
+    """Pairs that meet in the index, each once, at its first common key.
+
+    Before two sets are fetched their prefixes must share enough: of two prefixes, that which ends first in the common
+    order holds every shared key up to its end, and its set has ``held - first`` more.
+    """
+    need = f"(l.body_count + r.body_count) * {threshold!r}D / 2 - 1e-9"
+    common = "array_intersect(l.pre, r.pre)"
+    met = F.expr(
+        f"l.kind <=> r.kind AND l.bucket = r.bucket AND l.unit_id < r.unit_id AND l.key = r.key AND least(l.held, r.held) >= {need}"
+        f" AND try_element_at({common}, 1) = l.key AND size({common}) + greatest(l.held - l.first, r.held - r.first) >= {need}"
+    )
+    posted = _posted(index)
+    pairs = posted.alias("l").join(posted.alias("r"), met).select(F.col("l.unit_id").alias("a"), F.col("r.unit_id").alias("b"))
+    sets = index.select("unit_id", "body_count", "keys")
+    both = pairs.join(sets.toDF("a", "n_a", "keys_a"), "a").join(sets.toDF("b", "n_b", "keys_b"), "b")
+    score = dice(match_count(F.col("keys_a"), F.col("keys_b")), F.col("n_a"), F.col("n_b"))
+    return both.select("a", "b", score.alias("score")).where(F.col("score") >= threshold)
+
+
+CELL_PAIRS = 64  # pairs of a cell that are judged in the time of one pair of rows
 
 
 def prefix_pairs(candidates: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """The same pairs as bucket_pairs, for thresholds above 0: the index drops who has no partner, and the rest meet in
-    its lists or in their buckets, whichever makes fewer pairs."""
+    its lists or in the cells of their buckets, whichever costs less."""
     index = scratch.write(prefix_index(candidates, threshold), "prefixes")
     lists = index.select("kind", "bucket", F.explode(F.slice("keys", 1, F.col("first"))).alias("key")).groupBy("kind", "bucket", "key").agg(F.count("*").alias("n"))
     total = lambda df: df.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
-    in_buckets = total(index.groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= total(lists)
-    found = _meet_in_buckets(index, threshold) if in_buckets else index_pairs(index, threshold)
-    return found.unionByName(bucket_pairs(candidates.where("body_count = 0"), threshold))
+    in_buckets = total(index.groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= CELL_PAIRS * total(lists)
+    if in_buckets:
+        kept = index.select("unit_id", "kind", "bucket", "body_count", "keys")
+        ratio = (2 - threshold) / threshold if threshold <= 1 else None
+        found = judged_in_cells(kept, ("kind", "bucket"), ("unit_id", "body_count"), "body_count", ratio, _passing(threshold), "a long, b long, score double", scratch)
+    else:
+        found = index_pairs(index, threshold)
+    empty = candidates.where("body_count = 0")
+    return found.unionByName(bucket_pairs(empty, threshold, scratch)) if threshold <= 1 and empty.limit(1).count() else found
 
 
 def dice_pairs(candidates: DataFrame, threshold: float, scratch: Scratch | None = None) -> DataFrame:
     """(a, b, score) with a < b, equal kind and size bucket and a score of at least the threshold."""
-    if threshold != threshold:
-        return bucket_pairs(candidates, threshold).where("false")
-    return prefix_pairs(candidates, threshold, scratch or Scratch(candidates.sparkSession, "pairs")) if threshold > 0 else bucket_pairs(candidates, threshold)
+    scratch = scratch or Scratch(candidates.sparkSession, "pairs")
+    if threshold != threshold or threshold > 1:
+        return candidates.select(F.col("unit_id").alias("a"), F.col("unit_id").alias("b"), F.lit(1.0).alias("score")).where("false")
+    return prefix_pairs(candidates, threshold, scratch) if threshold > 0 else bucket_pairs(candidates, threshold, scratch)
 
 
 def near_components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -97,19 +133,22 @@ def near_components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_members(units: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """(component, similarity, unit columns): similarity is the least score among passing pairs of the component."""
+    """One row for each member of a group: (component, fingerprint, similarity, n_members, member fields).
+
+    ``similarity`` is the least score among passing pairs of the component.  Nothing is gathered.
+    """
     candidates = near_candidates(units)
     pairs = scratch.write(dice_pairs(candidates, threshold, scratch), "pairs")
     parts = scratch.write(near_components(pairs, scratch), "components")
     least = pairs.join(parts.withColumnRenamed("unit_id", "a"), "a").groupBy("component").agg(F.min("score").alias("similarity"))
-    return units.join(parts, "unit_id").join(least, "component")
+    rows = scratch.write(units.select("fingerprint", *MEMBER_FIELDS).join(parts, "unit_id"), "near-rows")
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n_members"), composite("fingerprint").alias("composite"))
+    return rows.join(sizes.join(least, "component"), "component").select("component", F.col("composite").alias("fingerprint"), "similarity", "n_members", *MEMBER_FIELDS)
 
 
 def near_groups(units: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(fingerprint, similarity, n_members, members) of each component."""
-    rows = near_members(units, threshold, scratch)
-    out = rows.groupBy("component").agg(F.first("similarity").alias("similarity"), F.count("*").alias("n_members"), F.array_sort(F.collect_list(member())).alias("members"), F.collect_list("fingerprint").alias("fps"))
-    return out.select(composite(F.col("fps")).alias("fingerprint"), "similarity", "n_members", "members")
+    return gathered(near_members(units, threshold, scratch))
 
 
 def bucket_sizes(candidates: DataFrame) -> DataFrame:

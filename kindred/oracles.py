@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .operators.stats import COUNTERS
 from .queries import ORDER_THRESHOLD, SUB_THRESHOLD, THRESHOLD
 
 NODES = """
@@ -31,13 +32,13 @@ LINES = (
   ln AS (SELECT doc_id, l, pos, disc, n_children, depth, CASE WHEN depth = 1 THEN 0 ELSE child_idx END AS child_idx, dense_rank() OVER (PARTITION BY doc_id, l, disc ORDER BY first) - 1 AS idx, data AS old FROM lf),
   lnode AS (SELECT doc_id, l, pos, depth, child_idx, disc, n_children, idx, CASE WHEN disc = 'Placeholder' THEN 'Variable#' || idx ELSE old END AS data FROM ln),
   ltree AS (SELECT doc_id, l, substr(md5(string_agg(disc || ':' || data || ':' || n_children, '|' ORDER BY pos)), 1, 16) AS fingerprint, count(*) AS n FROM lnode GROUP BY doc_id, l HAVING count(*) >= 5),
-  sub AS (SELECT (doc_id << 20) + l AS unit_id, 'block' AS kind, 'line ' || (l + 1) AS name, concat(source, '/', doc_id, '.', lang) AS file, 1 AS line_start,
+  sub AS (SELECT row_number() OVER (ORDER BY doc_id, l) - 1 AS unit_id, doc_id, l, 'block' AS kind, 'line ' || (l + 1) AS name, concat(source, '/', doc_id, '.', lang) AS file, 1 AS line_start,
           length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 AS line_end, fingerprint, n AS node_count, 'doc ' || doc_id AS parent_name FROM ltree JOIN documents USING (doc_id))"""
 )
 
 EXACT = """,
   sized AS (SELECT fingerprint, count(*) AS n_members FROM unit GROUP BY fingerprint HAVING count(*) > 1),
-  exact AS (SELECT fingerprint, 1.0::DOUBLE AS similarity, n_members, string_agg(unit_id::VARCHAR, ',' ORDER BY unit_id) AS members, sum(greatest(line_end - line_start, 0) + 1) AS lines FROM unit JOIN sized USING (fingerprint) GROUP BY ALL)"""
+  exact AS (SELECT fingerprint, 1.0::DOUBLE AS similarity, n_members, list(unit_id ORDER BY unit_id) AS members, sum(greatest(line_end - line_start, 0) + 1) AS lines FROM unit JOIN sized USING (fingerprint) GROUP BY ALL)"""
 
 PAIRS = """,
   cand AS (SELECT *, CASE WHEN node_count > 0 THEN floor(log2(node_count))::INT ELSE 0 END AS bucket FROM unit WHERE fingerprint NOT IN (SELECT fingerprint FROM sized)),
@@ -52,11 +53,12 @@ NEAR = (
   reach AS (SELECT a AS x, a AS y FROM edge UNION SELECT r.x, e.b FROM reach r JOIN edge e ON e.a = r.y),
   part AS (SELECT x AS unit_id, min(y) AS component FROM reach GROUP BY x),
   least AS (SELECT component, min(score) AS similarity FROM pair JOIN part ON unit_id = a GROUP BY component),
-  near AS (SELECT substr(md5(string_agg(fingerprint, ',' ORDER BY fingerprint)), 1, 16) AS fingerprint, similarity, count(*) AS n_members, string_agg(unit_id::VARCHAR, ',' ORDER BY unit_id) AS members,
+  near AS (SELECT {composite} AS fingerprint, similarity, count(*) AS n_members, list(unit_id ORDER BY unit_id) AS members,
            sum(greatest(line_end - line_start, 0) + 1) AS lines FROM unit JOIN part USING (unit_id) JOIN least USING (component) GROUP BY component, similarity)"""
 )
 
-TEXT_NEAR = NEAR.format(t=f"{THRESHOLD}::DOUBLE")
+COMPOSITE = "substr(md5(count(*)::VARCHAR || ',' || sum(('0x' || fingerprint)::UBIGINT)::VARCHAR), 1, 16)"
+TEXT_NEAR = NEAR.format(t=f"{THRESHOLD}::DOUBLE", composite=COMPOSITE)
 
 IGNORED = """,
   ignored AS (SELECT DISTINCT fingerprint, 'starts with ' || substr(fingerprint, 1, 1) AS reason FROM unit WHERE fingerprint < '4' UNION ALL SELECT 'no hex', NULL),
@@ -64,7 +66,7 @@ IGNORED = """,
 
 # lines: the same expressions over sub-units
 _LINE_UNITS = LINES + ",\n  unit AS (SELECT * FROM sub)"
-_LINE_PAIRS = NEAR.replace("key AS (SELECT doc_id AS unit_id, (depth, l, child_idx, disc, data) AS k FROM node JOIN cand ON unit_id = doc_id)", "key AS (SELECT unit_id, (depth, child_idx, disc, data) AS k FROM lnode JOIN cand ON unit_id = (doc_id << 20) + l)").format(t=f"{SUB_THRESHOLD}::DOUBLE")
+_LINE_PAIRS = NEAR.replace("key AS (SELECT doc_id AS unit_id, (depth, l, child_idx, disc, data) AS k FROM node JOIN cand ON unit_id = doc_id)", "key AS (SELECT unit_id, (lnode.depth, lnode.child_idx, disc, data) AS k FROM lnode JOIN cand ON cand.doc_id = lnode.doc_id AND cand.l = lnode.l)").format(t=f"{SUB_THRESHOLD}::DOUBLE", composite=COMPOSITE)
 
 TOTALS = """
 SELECT total_code_units, total_lines, exact_duplicate_groups, exact_duplicate_units, near_duplicate_groups, near_duplicate_units, exact_duplicate_lines, near_duplicate_lines, sub_exact_groups, sub_exact_units, sub_near_groups, sub_near_units,
@@ -93,6 +95,11 @@ _ORDER_SIZED = ",\n  sized AS (SELECT fingerprint FROM unit GROUP BY fingerprint
 
 _MEMBER = "{'name': name, 'kind': kind, 'file': file, 'line_start': line_start, 'line_end': line_end}"
 
+_STATS_FIELDS = (*COUNTERS[:8], "exact_duplicate_percent", "near_duplicate_percent", *COUNTERS[8:])
+_ALIKE_VALUE = "', similarity: ' || round_even(similarity * 100, 0)::BIGINT || '%'"
+_ALIKE = _ALIKE_VALUE + " || "
+_TEXT_ROWS = "SELECT ordinal, 'Group ' || ordinal || ' (fingerprint: ' || m.fingerprint || {alike}', ' || n_members || ' members):' AS header, '  - ' || name || ' (' || kind || ')' || {parent}' at ' || file || ':' || line_start || '-' || line_end AS line FROM m JOIN {units} USING (unit_id)"
+
 SQL = {
     "scan_exclude_paths": r"""SELECT page_id, url, lower(regexp_extract(url, '[^/.][^/]*\.([^./]+)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(url, '[^/.][^/]*\.([^./]+)$', 1)) IN ('html', 'com') AND NOT contains(url, '/de/') AND NOT contains(url, 'blog.')""",
     "language_counts": "SELECT lang, count(*) AS files FROM documents GROUP BY lang",
@@ -105,8 +112,8 @@ SQL = {
     "fingerprints": f"WITH {UNITS} SELECT unit_id, fingerprint FROM unit",
     "fingerprint_parse": r"""WITH t AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN printf('%X', event_id) WHEN 1 THEN '+00' || printf('%x', event_id) ELSE event_type END AS text FROM events)
 SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') THEN lpad(lower(ltrim(ltrim(text, '+'), '0')), 16, '0') END AS fingerprint FROM t""",
-    "composite_fingerprint": f"WITH {UNITS} SELECT split_part(file, '/', 1) AS source, substr(md5(string_agg(fingerprint, ',' ORDER BY fingerprint)), 1, 16) AS fingerprint FROM unit GROUP BY ALL",
-    "exact_groups_text": f"WITH {UNITS}{EXACT} SELECT row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal, fingerprint, similarity, n_members, members FROM exact",
+    "composite_fingerprint": f"WITH {UNITS} SELECT split_part(file, '/', 1) AS source, {COMPOSITE} AS fingerprint FROM unit GROUP BY 1",
+    "exact_groups_text": f"WITH {UNITS}{EXACT} SELECT ordinal, fingerprint, similarity, n_members, unnest(members) AS unit_id FROM (SELECT *, row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal FROM exact)",
     "exact_groups_orders": f"WITH {ORDERS} SELECT fingerprint, count(*) AS n_members, min(unit_id) AS first_unit FROM unit GROUP BY fingerprint HAVING count(*) > 1",
     "exact_members_text": f"WITH {UNITS}{EXACT} SELECT fingerprint, n_members, unit_id, name, file FROM unit JOIN sized USING (fingerprint)",
     "size_buckets": f"WITH {UNITS}{EXACT}{PAIRS.format(t=1)} SELECT kind, bucket, count(*) AS units, (count(*) * (count(*) - 1) / 2)::BIGINT AS pairs FROM cand GROUP BY ALL",
@@ -114,12 +121,12 @@ SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') TH
     "dice_pairs_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT a, b, score FROM pair",
     "dice_pairs_orders": f"WITH {ORDERS}{_ORDER_SIZED}{_ORDER_PAIRS} SELECT a, b, score FROM pair",
     "near_components_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT unit_id, component FROM part",
-    "near_groups_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT fingerprint, similarity, n_members, members FROM near",
+    "near_groups_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT fingerprint, similarity, n_members, unnest(members) AS unit_id FROM near",
     "near_members_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT component, similarity, unit_id, name FROM unit JOIN part USING (unit_id) JOIN least USING (component)",
     "tests_excluded": f"WITH {UNITS} SELECT unit_id, fingerprint FROM unit WHERE unit_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "sub_units": f"WITH {LINES} SELECT unit_id, kind, name, file, fingerprint, node_count, parent_name FROM sub",
     "sub_exact_groups": f"WITH {LINES} SELECT fingerprint, count(*) AS n_members, min(unit_id) AS first_unit FROM sub GROUP BY fingerprint HAVING count(*) > 1",
-    "sub_near_groups": f"WITH RECURSIVE {_LINE_UNITS}{EXACT}{_LINE_PAIRS} SELECT fingerprint, similarity, n_members, members FROM near",
+    "sub_near_groups": f"WITH RECURSIVE {_LINE_UNITS}{EXACT}{_LINE_PAIRS} SELECT fingerprint, similarity, n_members, unnest(members) AS unit_id FROM near",
     "live_fingerprints_text": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT fingerprint FROM exact UNION SELECT fingerprint FROM near",
     "ignore_filter": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR}{IGNORED} SELECT * FROM (SELECT 'exact' AS section, fingerprint, n_members FROM exact UNION ALL SELECT 'near', fingerprint, n_members FROM near) WHERE fingerprint NOT IN (SELECT fingerprint FROM ignored)",
     "ignore_stale": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR}{IGNORED} SELECT fingerprint, reason FROM ignored WHERE fingerprint NOT IN (SELECT fingerprint FROM live)",
@@ -131,7 +138,14 @@ SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') TH
     "check_limits_text": f"WITH s AS ({STATS}) SELECT limit_name, maximum, actual, actual > maximum AS failed FROM (SELECT 'max_exact' AS limit_name, 1000.0::DOUBLE AS maximum, exact_duplicate_groups::DOUBLE AS actual FROM s UNION ALL SELECT 'max_near', 0, near_duplicate_groups FROM s UNION ALL SELECT 'max_exact_percent', 5, exact_duplicate_percent FROM s UNION ALL SELECT 'max_near_percent', 99, near_duplicate_percent FROM s)",
     "group_ordinals": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR} SELECT section, row_number() OVER (PARTITION BY section ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal, fingerprint, n_members, similarity FROM (SELECT 'exact' AS section, * FROM exact UNION ALL SELECT 'near', * FROM near)",
     "report_json_rows": f"WITH {UNITS}{EXACT} SELECT fingerprint, to_json({{'fingerprint': fingerprint, 'similarity': 1.0::DOUBLE, 'members': list({_MEMBER} ORDER BY unit_id)}})::VARCHAR AS json FROM unit JOIN sized USING (fingerprint) GROUP BY fingerprint",
-    "report_text_rows": f"WITH {UNITS}{EXACT}, g AS (SELECT fingerprint, n_members, string_agg('  - ' || name || ' (' || kind || ') at ' || file || ':' || line_start || '-' || line_end, chr(10) ORDER BY unit_id) AS lines FROM unit JOIN sized USING (fingerprint) GROUP BY ALL), o AS (SELECT *, row_number() OVER (ORDER BY n_members DESC, fingerprint) AS ordinal FROM g) SELECT ordinal, 'Group ' || ordinal || ' (fingerprint: ' || fingerprint || ', ' || n_members || ' members):' AS header, lines FROM o",
+    "report_json_near": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR}, shown AS (SELECT near.fingerprint, similarity, unnest(members) AS unit_id FROM near) SELECT fingerprint, to_json({{'fingerprint': shown.fingerprint, 'similarity': similarity, 'members': list({_MEMBER} ORDER BY unit_id)}})::VARCHAR AS json FROM shown JOIN (SELECT * EXCLUDE (fingerprint) FROM unit) USING (unit_id) GROUP BY shown.fingerprint, similarity",
+    "report_json_stats": f"WITH s AS ({STATS}) SELECT '{{' || string_agg('\"' || name || '\":' || value, ',' ORDER BY i) || '}}' AS json FROM ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS name, {c}::VARCHAR AS value FROM s" + (f" WHERE {c} > 0" if c.startswith("sub") else "") for i, c in enumerate(_STATS_FIELDS))
+    + ")",
+    "report_text_rows": f"WITH {UNITS}{EXACT}, g AS (SELECT *, row_number() OVER (ORDER BY n_members DESC, fingerprint) AS ordinal FROM exact), m AS (SELECT ordinal, fingerprint, n_members, similarity, unnest(members) AS unit_id FROM g) {_TEXT_ROWS.format(alike='', parent='', units='unit')}",
+    "report_text_near": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR}, g AS (SELECT *, row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal FROM near), m AS (SELECT ordinal, fingerprint, n_members, similarity, unnest(members) AS unit_id FROM g) {_TEXT_ROWS.format(alike=_ALIKE, parent='', units='unit')}",
+    "report_text_sub": f"WITH RECURSIVE {_LINE_UNITS}{EXACT}{_LINE_PAIRS}, g AS (SELECT 'sub_exact' AS section, fingerprint, similarity, n_members, members, row_number() OVER (ORDER BY n_members DESC, fingerprint) AS ordinal FROM exact UNION ALL SELECT 'sub_near', fingerprint, similarity, n_members, members, row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) FROM near), m AS (SELECT section, ordinal, fingerprint, n_members, similarity, unnest(members) AS unit_id FROM g) "
+    + _TEXT_ROWS.format(alike=f"CASE section WHEN 'sub_near' THEN {_ALIKE_VALUE} ELSE '' END || ", parent="' in ' || parent_name || ", units="unit").replace("SELECT ordinal", "SELECT section, ordinal", 1),
     "config_precedence": "SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN 25 END, CASE WHEN user_id % 2 = 0 THEN 15 END, 10) AS min_nodes FROM events",
 }
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..errors import NoSourceFiles
 from ..frontend.registry import Analyzer, extract
-from ..operators.exact import exact_groups, live_fingerprints
+from ..operators.exact import exact_members, live_fingerprints
 from ..operators.ignore import drop_ignored, ignore_frame, load_entries
-from ..operators.near import near_groups
+from ..operators.near import near_members
 from ..operators.stats import stats
 from ..scratch import Scratch
 from ..sources.files import read_sources, scan_files
@@ -23,7 +23,8 @@ from ..sources.files import read_sources, scan_files
 
 @dataclass
 class Analysis:
-    """Frames of one analysis.  Groups are those left by the ignore list; ``live`` holds all fingerprints before it."""
+    """Frames of one analysis.  Sections hold a row for each member of the groups that the ignore list leaves; ``live``
+    holds all fingerprints before it."""
 
     units: DataFrame
     exact: DataFrame
@@ -49,9 +50,9 @@ def analyze_units(units: DataFrame, config: Config, sub_units: DataFrame | None
     if ignore is None:
         ignore = ignore_frame(spark, load_entries(config.root))
     threshold = config.similarity_threshold
-    sections = {"exact": scratch.write(exact_groups(units), "exact"), "near": scratch.write(near_groups(units, threshold, scratch), "near")}
+    sections = {"exact": scratch.write(exact_members(units), "exact"), "near": scratch.write(near_members(units, threshold, scratch), "near")}
     if config.sub_function and sub_units is not None:
-        sections |= {"sub_exact": scratch.write(exact_groups(sub_units), "sub-exact"), "sub_near": scratch.write(near_groups(sub_units, threshold, scratch), "sub-near")}
+        sections |= {"sub_exact": scratch.write(exact_members(sub_units), "sub-exact"), "sub_near": scratch.write(near_members(sub_units, threshold, scratch), "sub-near")}
     live = live_fingerprints(*sections.values())
     left = {name: drop_ignored(groups, ignore) for name, groups in sections.items()}
     return Analysis(units, left["exact"], left["near"], left.get("sub_exact"), left.get("sub_near"), live, list(warnings))

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from .config import Config
 from .functions.fingerprints import composite, parse_hex
-from .operators.exact import exact_groups, exact_members, live_fingerprints, ordinals
+from .operators.exact import exact_members, gathered, live_fingerprints, ordinals
 from .operators.ignore import drop_ignored, live_entries, stale_entries, upsert
-from .operators.near import bucket_sizes, dice_pairs, first_occurrence_rank, near_candidates, near_components, near_groups, near_members
+from .operators.near import bucket_sizes, dice_pairs, first_occurrence_rank, near_candidates, near_components, near_members
 from .operators.stats import check_limits, rollup, stats
-from .report import group_json, group_lines
+from .report import group_json, member_lines, stats_json
 from .scratch import Scratch
 from .sources.files import extension, has_extension, is_excluded
 from .sources.tabular import line_nodes, order_units, text_nodes, text_sub_units, text_units
@@ -32,15 +32,19 @@ def _texts(spark, d, **kw):
     return text_units(_t(spark, d, "documents"), _t(spark, d, "labels"), **kw)
 
 
-def _kept_texts(spark, d):
+def _kept_texts(spark, d, with_keys=True):
     """Text units, computed once for plans that read them several times."""
     scratch = Scratch(spark, "text-units")
-    return scratch.write(_texts(spark, d), "units"), scratch
+    return scratch.write(_texts(spark, d, with_keys=with_keys), "units"), scratch
 
 
-def _kept_lines(spark, d):
+def _lines(spark, d, scratch=None, with_keys=True):
+    return text_sub_units(_t(spark, d, "documents"), scratch or Scratch(spark, "line-units"), with_keys=with_keys)
+
+
+def _kept_lines(spark, d, with_keys=True):
     scratch = Scratch(spark, "line-units")
-    return scratch.write(text_sub_units(_t(spark, d, "documents")), "units"), scratch
+    return scratch.write(_lines(spark, d, scratch, with_keys), "units"), scratch
 
 
 def _unit_columns(units):
@@ -65,7 +69,7 @@ def language_detect(spark, d):
 
 
 def units_text(spark, d):
-    return _unit_columns(_texts(spark, d, min_nodes=10, min_lines=2))
+    return _unit_columns(_texts(spark, d, min_nodes=10, min_lines=2, with_keys=False))
 
 
 def units_orders(spark, d):
@@ -85,13 +89,13 @@ def placeholder_index(spark, d):
 
 
 def reindexed_subtree(spark, d):
-    nodes = line_nodes(text_nodes(_t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text")))
+    nodes = line_nodes(_t(spark, d, "documents").select(F.col("doc_id").alias("unit_id"), "text"))
     index = F.substring_index("data", "#", -1).cast("int")
     return nodes.groupBy("unit_id", F.col("sub_line").alias("line_no")).agg(F.count("*").alias("nodes"), F.coalesce(F.max(F.when(F.col("disc") == "Placeholder", index)), F.lit(-1)).alias("last_index"), F.sum(F.when(F.col("disc") == "Placeholder", index).otherwise(0)).alias("index_sum"))
 
 
 def fingerprints(spark, d):
-    return _texts(spark, d).select("unit_id", "fingerprint")
+    return _texts(spark, d, with_keys=False).select("unit_id", "fingerprint")
 
 
 def fingerprint_parse(spark, d):
@@ -101,13 +105,14 @@ def fingerprint_parse(spark, d):
 
 def composite_fingerprint(spark, d):
     """One order-independent fingerprint for the documents of each source."""
-    rows = _texts(spark, d).select("fingerprint", F.substring_index("file", "/", 1).alias("source"))
-    return rows.groupBy("source").agg(F.collect_list("fingerprint").alias("fps")).select("source", composite(F.col("fps")).alias("fingerprint"))
+    rows = _texts(spark, d, with_keys=False).select("fingerprint", F.substring_index("file", "/", 1).alias("source"))
+    return rows.groupBy("source").agg(composite("fingerprint").alias("fingerprint"))
 
 
 def exact_groups_text(spark, d):
-    g = exact_groups(_kept_texts(spark, d)[0])
-    return ordinals(g).select("ordinal", "fingerprint", "similarity", "n_members", F.array_join(F.transform("members", lambda m: m["unit_id"].cast("string")), ",").alias("members"))
+    """Groups in order, one row for each member."""
+    units, scratch = _kept_texts(spark, d, with_keys=False)
+    return ordinals(scratch.write(exact_members(units), "exact"), scratch).select("ordinal", "fingerprint", "similarity", "n_members", "unit_id")
 
 
 def exact_groups_orders(spark, d):
@@ -116,15 +121,15 @@ def exact_groups_orders(spark, d):
 
 
 def exact_members_text(spark, d):
-    return exact_members(_kept_texts(spark, d)[0]).select("fingerprint", "n_members", "unit_id", "name", "file")
+    return exact_members(_kept_texts(spark, d, with_keys=False)[0]).select("fingerprint", "n_members", "unit_id", "name", "file")
 
 
 def size_buckets(spark, d):
-    return bucket_sizes(near_candidates(_kept_texts(spark, d)[0]))
+    return bucket_sizes(near_candidates(_kept_texts(spark, d, with_keys=False)[0]))
 
 
 def near_candidates_text(spark, d):
-    return near_candidates(_kept_texts(spark, d)[0]).select("unit_id", "fingerprint")
+    return near_candidates(_kept_texts(spark, d, with_keys=False)[0]).select("unit_id", "fingerprint")
 
 
 def dice_pairs_text(spark, d):
@@ -141,13 +146,13 @@ def near_components_text(spark, d):
     return near_components(scratch.write(dice_pairs(near_candidates(units), THRESHOLD), "pairs"), scratch)
 
 
-def _shown(groups):
-    return groups.select("fingerprint", "similarity", "n_members", F.array_join(F.transform("members", lambda m: m["unit_id"].cast("string")), ",").alias("members"))
+def _shown(members):
+    return members.select("fingerprint", "similarity", "n_members", "unit_id")
 
 
 def near_groups_text(spark, d):
     units, scratch = _kept_texts(spark, d)
-    return _shown(near_groups(units, THRESHOLD, scratch))
+    return _shown(near_members(units, THRESHOLD, scratch))
 
 
 def near_members_text(spark, d):
@@ -156,25 +161,25 @@ def near_members_text(spark, d):
 
 
 def tests_excluded(spark, d):
-    return _texts(spark, d).where("not is_test").select("unit_id", "fingerprint")
+    return _texts(spark, d, with_keys=False).where("not is_test").select("unit_id", "fingerprint")
 
 
 def sub_units(spark, d):
-    return text_sub_units(_t(spark, d, "documents")).select("unit_id", "kind", "name", "file", "fingerprint", "node_count", "parent_name")
+    return _lines(spark, d, with_keys=False).select("unit_id", "kind", "name", "file", "fingerprint", "node_count", "parent_name")
 
 
 def sub_exact_groups(spark, d):
-    return _kept_lines(spark, d)[0].groupBy("fingerprint").agg(F.count("*").alias("n_members"), F.min("unit_id").alias("first_unit")).where("n_members > 1")
+    return _lines(spark, d, with_keys=False).groupBy("fingerprint").agg(F.count("*").alias("n_members"), F.min("unit_id").alias("first_unit")).where("n_members > 1")
 
 
 def sub_near_groups(spark, d):
     lines, scratch = _kept_lines(spark, d)
-    return _shown(near_groups(lines, SUB_THRESHOLD, scratch))
+    return _shown(near_members(lines, SUB_THRESHOLD, scratch))
 
 
 def _text_sections(spark, d):
     units, scratch = _kept_texts(spark, d)
-    return units, scratch.write(exact_groups(units), "exact"), scratch.write(near_groups(units, THRESHOLD, scratch), "near"), scratch
+    return units, scratch.write(exact_members(units), "exact"), scratch.write(near_members(units, THRESHOLD, scratch).drop("component"), "near"), scratch
 
 
 def live_fingerprints_text(spark, d):
@@ -192,7 +197,7 @@ def _ignored(units):
 def ignore_filter(spark, d):
     units, exact, near, _ = _text_sections(spark, d)
     sections = exact.withColumn("section", F.lit("exact")).unionByName(near.withColumn("section", F.lit("near")))
-    return drop_ignored(sections, _ignored(units)).select("section", "fingerprint", "n_members")
+    return drop_ignored(sections, _ignored(units)).select("section", "fingerprint", "n_members").distinct()
 
 
 def ignore_stale(spark, d):
@@ -206,7 +211,7 @@ def ignore_live(spark, d):
 
 
 def ignore_upsert(spark, d):
-    units = _kept_texts(spark, d)[0]
+    units = _kept_texts(spark, d, with_keys=False)[0]
     new = units.where("fingerprint < '8'").select("fingerprint", F.lit("new").alias("reason"), F.array().cast("array<string>").alias("members")).distinct()
     return upsert(_ignored(units), new).select("fingerprint", "reason")
 
@@ -218,12 +223,12 @@ def stats_text(spark, d):
 
 def stats_with_sub(spark, d):
     units, exact, near, scratch = _text_sections(spark, d)
-    lines = scratch.write(text_sub_units(_t(spark, d, "documents")), "lines")
-    return stats(units, exact, near, exact_groups(lines), near_groups(lines, SUB_THRESHOLD, scratch))
+    lines = scratch.write(_lines(spark, d, scratch), "lines")
+    return stats(units, exact, near, exact_members(lines), near_members(lines, SUB_THRESHOLD, scratch))
 
 
 def stats_rollup(spark, d):
-    named = _texts(spark, d).withColumn("test", F.col("is_test").cast("string"))
+    named = _texts(spark, d, with_keys=False).withColumn("test", F.col("is_test").cast("string"))
     return rollup(named, "kind", "test").fillna("all", ["kind", "test"])
 
 
@@ -234,15 +239,39 @@ def check_limits_text(spark, d):
 def group_ordinals(spark, d):
     units, exact, near, _ = _text_sections(spark, d)
     named = ordinals(exact).withColumn("section", F.lit("exact")).unionByName(ordinals(near).withColumn("section", F.lit("near")))
-    return named.select("section", "ordinal", "fingerprint", "n_members", "similarity")
+    return named.select("section", "ordinal", "fingerprint", "n_members", "similarity").distinct()
 
 
 def report_json_rows(spark, d):
-    return group_json(exact_groups(_kept_texts(spark, d)[0]))
+    """Each group as one JSON text, so a group must fit in a row here; the rows of report_text_rows have no such limit."""
+    return group_json(gathered(exact_members(_kept_texts(spark, d, with_keys=False)[0])))
+
+
+def report_json_near(spark, d):
+    units, scratch = _kept_texts(spark, d)
+    return group_json(gathered(near_members(units, THRESHOLD, scratch)))
 
 
 def report_text_rows(spark, d):
-    return group_lines(exact_groups(_kept_texts(spark, d)[0]))
+    units, scratch = _kept_texts(spark, d, with_keys=False)
+    return member_lines(scratch.write(exact_members(units), "exact"), "exact").drop("unit_id")
+
+
+def report_text_near(spark, d):
+    units, scratch = _kept_texts(spark, d)
+    return member_lines(scratch.write(near_members(units, THRESHOLD, scratch), "near"), "near").drop("unit_id")
+
+
+def report_text_sub(spark, d):
+    """Both sections of sub-units, with parents."""
+    lines, scratch = _kept_lines(spark, d)
+    exact, near = scratch.write(exact_members(lines), "exact"), scratch.write(near_members(lines, SUB_THRESHOLD, scratch), "near")
+    shown = [member_lines(rows, name).withColumn("section", F.lit(name)) for name, rows in (("sub_exact", exact), ("sub_near", near))]
+    return shown[0].unionByName(shown[1]).drop("unit_id")
+
+
+def report_json_stats(spark, d):
+    return stats_json(stats_text(spark, d))
 
 
 def config_precedence(spark, d):
@@ -308,7 +337,7 @@ ALL = (
     scan_exclude_paths, language_counts, language_detect, units_text, units_orders, text_tree_nodes, placeholder_index, reindexed_subtree, fingerprints, fingerprint_parse, composite_fingerprint,
     exact_groups_text, exact_groups_orders, exact_members_text, size_buckets, near_candidates_text, dice_pairs_text, dice_pairs_orders, near_components_text, near_groups_text, near_members_text, tests_excluded,
     sub_units, sub_exact_groups, sub_near_groups, live_fingerprints_text, ignore_filter, ignore_stale, ignore_live, ignore_upsert, stats_text, stats_with_sub, stats_rollup, check_limits_text, group_ordinals,
-    report_json_rows, report_text_rows, config_precedence, python_units, rust_units,
+    report_json_rows, report_json_near, report_json_stats, report_text_rows, report_text_near, report_text_sub, config_precedence, python_units, rust_units,
 )
 
 

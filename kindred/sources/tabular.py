@@ -1,129 +1,217 @@
-"""Front-ends for tables: rows of ordinary tables as trees, built and numbered with DataFrame functions alone.
+"""Front-ends for tables: rows of ordinary tables as trees.
 
 A text is a block of line blocks whose leaves are its blank-separated tokens: digits are integer literals, anything
-else a variable, numbered by first use.  A group of rows is a block with one leaf for each row.
+else a variable, numbered by first use.  A group of rows is a block with one leaf for each row.  A text lies in one
+row, so it is numbered, hashed and cut into nodes there, in Arrow batches, and nothing of it is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fingerprints import fingerprint, node_token
+from ..functions.batches import slices
+from ..functions.fingerprints import fingerprint
+from ..operators.ranks import with_rank
+from ..scratch import Scratch
+from ..shipping import ship
 
-SUB_BITS = 20  # a sub-unit's id: its parent's, and the line
+ROOT, LINE, LITERAL = -3, -2, -1  # codes of nodes that are no variables; those are coded by their number
+_U = np.uint64
 
 
-def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda t: t != "")
+def _codes(tokens: list[str], numbers: dict[str, int]) -> list[int]:
+    """Each token as a literal or as a variable, numbered by first use."""
+    return [LITERAL if t.isdigit() and t.isascii() else numbers.setdefault(t, len(numbers)) for t in tokens]
 
 
-def text_nodes(texts: DataFrame) -> DataFrame:
-    """Preorder nodes (unit_id, pos, parent, depth, line_no, child_idx, disc, data, n_children) of texts(unit_id, text).
+def _lines(text: str | None) -> list[list[str]]:
+    return [[t for t in line.split(" ") if t] for line in (text or "").split("\n")]
 
-    A text's nodes are laid out inside its row; one shuffle by unit then serves both numbering windows and whatever
-    groups by unit afterwards.
-    """
-    entry = lambda line, nth, token, kids: F.struct(line.alias("line_no"), nth.alias("nth"), token.alias("token"), kids.alias("n_children"))
-    missing, minus = F.lit(None).cast("string"), F.lit(-1)
-
-    def of_line(line: Column, number: Column) -> Column:
-        tokens = _tokens(line)
-        head = F.array(entry(number, minus, missing, F.size(tokens)))
-        return F.concat(head, F.transform(tokens, lambda t, j: entry(number, j, t, F.lit(0))))
-
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    root = F.array(entry(minus, minus, missing, F.size(lines)))
-    rows = texts.select("unit_id", F.posexplode(F.concat(root, F.flatten(F.transform(lines, of_line)))).alias("pos", "e")).select("unit_id", "pos", "e.*")
-    is_int = F.col("token").rlike("^[0-9]+$")
-    name = F.when(~is_int, F.col("token"))
-    rows = rows.repartition("unit_id").withColumn("name", name)
-    rows = rows.withColumn("first", F.when(F.col("name").isNotNull(), F.min("pos").over(Window.partitionBy("unit_id", "name"))))
-    index = F.dense_rank().over(Window.partitionBy("unit_id", F.col("name").isNotNull()).orderBy("first")) - 1
-    return rows.withColumn("index", index).select(
+
+def _canonical(codes: list[int]) -> str:
+    return "".join(["|Literal:Int:0" if c == LITERAL else f"|Placeholder:Variable#{c}:0" for c in codes])
+
+
+def _path_keys(line: np.ndarray, nth: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """All ancestors are blocks, so the way down to a node is told by line and place."""
+    with np.errstate(over="ignore"):
+        x = np.zeros(len(line), _U)
+        for part in (line, nth, code):
+            x = (x ^ part.astype(np.int64).view(_U)) * _U(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
+            x ^= x >> _U(32)
+    return x.view(np.int64)
+
+
+def _laid_out(lines: list[list[int]], first_line: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place in it or -1 for its block, code) of the nodes below the root, in preorder."""
+    counts = np.array([len(x) + 1 for x in lines], np.int64)
+    starts = np.cumsum(counts) - counts
+    line = np.repeat(np.arange(len(lines)), counts)
+    nth = np.arange(len(line)) - starts[line] - 1
+    code = np.full(len(line), LINE, np.int64)
+    code[nth >= 0] = np.fromiter((c for x in lines for c in x), np.int64)
+    return line + first_line, nth, code
+
+
+_NODES = pa.schema([("unit_id", pa.int64()), *[(c, pa.int32()) for c in ("pos", "line_no", "nth", "code", "n_children")]])
+
+
+def _node_rows(whole: bool):
+    """Nodes of whole texts, or of each line as a tree of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            for unit, text in zip(batch.column("unit_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                numbers: dict[str, int] = {}
+                lines = [_codes(tokens, numbers if whole else {}) for tokens in _lines(text)]
+                line, nth, code = _laid_out(lines)
+                kids = np.where(nth < 0, np.array([len(x) for x in lines])[line], 0)
+                pos = np.arange(1, len(line) + 1)
+                if whole:
+                    line, nth, code, kids, pos = (np.concatenate([[x], y]) for x, y in ((-1, line), (-1, nth), (ROOT, code), (len(lines), kids), (0, pos)))
+                yield pa.RecordBatch.from_arrays([pa.array([unit] * len(line), pa.int64()), *[pa.array(x, pa.int32()) for x in (pos, line, nth, code, kids)]], schema=_NODES)
+
+    return run
+
+
+def _described(nodes: DataFrame) -> DataFrame:
+    root, block = F.col("code") == ROOT, F.col("code") <= LINE
+    return nodes.withColumn("disc", F.when(block, "Block").when(F.col("code") == LITERAL, "Literal").otherwise("Placeholder")).withColumn(
+        "data", F.when(block, "").when(F.col("code") == LITERAL, "Int").otherwise(F.concat(F.lit("Variable#"), F.col("code").cast("string")))
+    ).withColumn("is_root", root)
+
+
+def _exploded(texts: DataFrame, whole: bool) -> DataFrame:
+    ship(texts.sparkSession)
+    rows = texts.select(F.col("unit_id").cast("long"), F.col("text").cast("string"))
+    return _described(rows.mapInArrow(_node_rows(whole), "unit_id long, pos int, line_no int, nth int, code int, n_children int"))
+
+
+def text_nodes(texts: DataFrame) -> DataFrame:
+    """Preorder nodes (unit_id, pos, parent, depth, line_no, child_idx, disc, data, n_children) of texts(unit_id, text)."""
+    head = F.col("nth") < 0
+    return _exploded(texts, True).select(
         "unit_id",
         "pos",
-        F.when(F.col("line_no") < 0, -1).when(F.col("nth") < 0, 0).otherwise(F.col("pos") - F.col("nth") - 1).alias("parent"),
-        F.when(F.col("line_no") < 0, 0).when(F.col("nth") < 0, 1).otherwise(2).alias("depth"),
+        F.when(F.col("is_root"), -1).when(head, 0).otherwise(F.col("pos") - F.col("nth") - 1).alias("parent"),
+        F.when(F.col("is_root"), 0).when(head, 1).otherwise(2).alias("depth"),
         "line_no",
-        F.when(F.col("line_no") < 0, 0).when(F.col("nth") < 0, F.col("line_no")).otherwise(F.col("nth")).alias("child_idx"),
-        F.when(F.col("token").isNull(), "Block").when(is_int, "Literal").otherwise("Placeholder").alias("disc"),
-        F.when(F.col("token").isNull(), "").when(is_int, "Int").otherwise(F.concat(F.lit("Variable#"), F.col("index").cast("string"))).alias("data"),
+        F.when(F.col("is_root"), 0).when(head, F.col("line_no")).otherwise(F.col("nth")).alias("child_idx"),
+        "disc",
+        "data",
         "n_children",
     )
 
 
-def path_key() -> Column:
-    """All ancestors are blocks, so the way down is told by depth, line and place."""
-    return F.xxhash64("depth", "line_no", "child_idx", "disc", "data")
+def line_nodes(texts: DataFrame) -> DataFrame:
+    """Each line's block as a tree of its own: places count from the line, variables again from 0."""
+    head = F.col("nth") < 0
+    depth, place = F.when(head, 0).otherwise(1), F.when(head, 0).otherwise(F.col("nth"))
+    return _exploded(texts, False).select("unit_id", F.col("line_no").alias("sub_line"), "pos", F.lit(0).alias("line_no"), depth.alias("depth"), place.alias("child_idx"), "disc", "data", "n_children")
+
+
+def _md5(text: str) -> str:
+    return hashlib.md5(text.encode()).hexdigest()[:16]
+
+
+def _text_trees(with_keys: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            prints, counts, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                numbers: dict[str, int] = {}
+                lines = [_codes(tokens, numbers) for tokens in _lines(text)]
+                prints.append(_md5(f"None::0#Block::{len(lines)}" + "".join([f"|Block::{len(x)}{_canonical(x)}" for x in lines])))
+                counts.append(1 + sum(len(x) + 1 for x in lines))
+                if with_keys:
+                    keys.append(_path_keys(*(np.concatenate([[x], y]) for x, y in zip((-1, -1, ROOT), _laid_out(lines), strict=True))))
+            columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
+            names = [n for n in batch.schema.names if n != "text"]
+            out = [pa.array(prints, pa.string()), pa.array(counts, pa.int32()), pa.array(keys if with_keys else [None] * len(counts), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*columns, *out], names=[*names, "fingerprint", "body_count", "body_keys"])
+
+    return run
 
 
-def assembled(nodes: DataFrame, *keys: str) -> DataFrame:
-    """(keys, canonical, body_count, body_keys) from nodes of trees without a signature."""
-    token = F.struct("pos", node_token(F.col("disc"), F.col("data"), F.col("n_children")).alias("t"))
-    out = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(token)).alias("tokens"), F.count("*").cast("int").alias("body_count"), F.collect_list(path_key()).alias("body_keys"))
-    return out.select(*keys, F.array_join(F.transform("tokens", lambda x: x["t"]), "|").alias("canonical"), "body_count", "body_keys")
+_ABOUT = "unit_id long, kind string, name string, file string, line_start int, line_end int"
 
 
-def text_units(docs: DataFrame, labels: DataFrame | None = None, min_nodes: int = 0, min_lines: int = 0) -> DataFrame:
-    """Units of documents(doc_id, text, lang, source); a toxic label marks a unit as test code."""
-    trees = assembled(text_nodes(docs.select(F.col("doc_id").alias("unit_id"), "text")), "unit_id")
-    text = F.coalesce("text", F.lit(""))
-    about = docs.select(
-        F.col("doc_id").alias("unit_id"), F.col("lang").alias("kind"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"),
+def _about(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("unit_id"), F.col("lang").cast("string").alias("kind"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"),
         F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file"), F.lit(1).alias("line_start"),
-        (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("line_end"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("int").alias("line_end"), text.alias("text"),
     )
+
+
+def text_units(docs: DataFrame, labels: DataFrame | None = None, min_nodes: int = 0, min_lines: int = 0, with_keys: bool = True) -> DataFrame:
+    """Units of documents(doc_id, text, lang, source); a toxic label marks a unit as test code.
+
+    Without ``with_keys`` ``body_keys`` is null: fingerprints and statistics do not need it.
+    """
+    ship(docs.sparkSession)
+    units = _about(docs).mapInArrow(_text_trees(with_keys), f"{_ABOUT}, fingerprint string, body_count int, body_keys array<long>")
     if labels is None:
-        about = about.withColumn("is_test", F.lit(False))
+        units = units.withColumn("is_test", F.lit(False))
     else:
         toxic = labels.groupBy(F.col("doc_id").alias("unit_id")).agg(F.max("toxic").alias("toxic"))
-        about = about.join(toxic, "unit_id", "left").withColumn("is_test", F.coalesce(F.col("toxic") == 1, F.lit(False))).drop("toxic")
-    units = about.join(trees, "unit_id")
-    out = units.select(
-        "unit_id", "kind", "name", "file", "line_start", "line_end", fingerprint(F.concat(F.lit("None::0#"), F.col("canonical"))).alias("fingerprint"),
-        F.col("body_count").alias("node_count"), "body_count", "body_keys", F.lit(None).cast("string").alias("parent_name"), "is_test",
-    )
+        units = units.join(toxic, "unit_id", "left").withColumn("is_test", F.coalesce(F.col("toxic") == 1, F.lit(False))).drop("toxic")
+    out = units.select("unit_id", "kind", "name", "file", "line_start", "line_end", "fingerprint", F.col("body_count").alias("node_count"), "body_count", "body_keys", F.lit(None).cast("string").alias("parent_name"), "is_test")
     return out.where((F.col("node_count") >= min_nodes) & (F.col("line_end") - F.col("line_start") + 1 >= min_lines))
 
 
-def line_nodes(nodes: DataFrame) -> DataFrame:
-    """Each line's block as a tree of its own: places count from the line, variables again from 0."""
-    inner = nodes.where("line_no >= 0")
-    line = ["unit_id", "line_no"]
-    uses = Window.partitionBy(*line, "disc", "data")
-    order = Window.partitionBy(*line, "disc").orderBy("first")
-    inner = inner.withColumn("first", F.min("pos").over(uses)).withColumn("index", F.dense_rank().over(order) - 1)
-    data = F.when(F.col("disc") == "Placeholder", F.concat(F.lit("Variable#"), F.col("index").cast("string"))).otherwise(F.col("data"))
-    return inner.select("unit_id", F.col("line_no").alias("sub_line"), "pos", F.lit(0).alias("line_no"), (F.col("depth") - 1).alias("depth"), F.when(F.col("depth") == 1, 0).otherwise(F.col("child_idx")).alias("child_idx"), "disc", data.alias("data"), "n_children")
+def _line_trees(min_nodes: int, with_keys: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found: list[tuple] = []
+            for doc, name, file, end, text in zip(*(batch.column(c).to_pylist() for c in ("unit_id", "name", "file", "line_end", "text")), strict=True):
+                for i, tokens in enumerate(_lines(text)):
+                    if len(tokens) + 1 < min_nodes:
+                        continue
+                    codes = _codes(tokens, {})
+                    keys = _path_keys(*_laid_out([codes])) if with_keys else None
+                    found.append((doc, i, file, end, _md5(f"Block::{len(codes)}{_canonical(codes)}"), len(codes) + 1, keys, name))
+            columns = list(zip(*found, strict=True)) or [[]] * 8
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "line", "file", "line_end", "fingerprint", "body_count", "body_keys", "parent_name"])
+
+    return run
 
 
-def text_sub_units(docs: DataFrame, min_sub_nodes: int = 5) -> DataFrame:
+def text_sub_units(docs: DataFrame, scratch: Scratch, min_sub_nodes: int = 5, with_keys: bool = True) -> DataFrame:
     """Units of the lines of documents, those of too few nodes left out; place and name are the parent's.
 
-    A unit in a line past 2**SUB_BITS would share its id with one of the next document, so it is an error.
+    Ids count the units in the order (document, line), so any number of lines has room.
     """
-    nodes = text_nodes(docs.select(F.col("doc_id").alias("unit_id"), "text"))
-    trees = assembled(line_nodes(nodes), "unit_id", "sub_line").where(F.col("body_count") >= min_sub_nodes)
-    text = F.coalesce("text", F.lit(""))
-    about = docs.select(F.col("doc_id").alias("unit_id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("parent_name"), F.concat_ws("", "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("file"), (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("line_end"))
-    too_long = F.raise_error(F.concat(F.lit("too many lines for the ids of sub-units: document "), F.col("unit_id").cast("string")))
-    unit_id = F.when(F.col("sub_line") < 1 << SUB_BITS, F.shiftleft("unit_id", SUB_BITS) + F.col("sub_line")).otherwise(too_long)
-    return trees.join(about, "unit_id").select(
-        unit_id.alias("unit_id"), F.lit("block").alias("kind"), F.concat(F.lit("line "), (F.col("sub_line") + 1).cast("string")).alias("name"), "file",
-        F.lit(1).alias("line_start"), "line_end", fingerprint(F.col("canonical")).alias("fingerprint"), F.col("body_count").alias("node_count"), "body_count", "body_keys", "parent_name", F.lit(False).alias("is_test"),
+    ship(docs.sparkSession)
+    rows = _about(docs).select("unit_id", "name", "file", "line_end", "text")
+    lines = rows.mapInArrow(_line_trees(min_sub_nodes, with_keys), "doc_id long, line int, file string, line_end int, fingerprint string, body_count int, body_keys array<long>, parent_name string")
+    return with_rank(lines, ["doc_id", "line"], "unit_id", scratch).select(
+        "unit_id", F.lit("block").alias("kind"), F.concat(F.lit("line "), (F.col("line") + 1).cast("string")).alias("name"), "file",
+        F.lit(1).alias("line_start"), "line_end", "fingerprint", F.col("body_count").alias("node_count"), "body_count", "body_keys", "parent_name", F.lit(False).alias("is_test"),
     )
 
 
+def _keys_of(items: Column) -> Column:
+    return F.concat(F.array(F.xxhash64(F.lit("Block"))), F.transform(items, lambda x, i: F.xxhash64(i, x["data"])))
+
+
 def order_units(lineitem: DataFrame) -> DataFrame:
     """Units of orders: a block with one item leaf for each line, by line number, return flag and status."""
     data = F.concat(F.coalesce("l_returnflag", F.lit("")), F.coalesce("l_linestatus", F.lit("")))
     items = lineitem.select(F.col("l_orderkey").alias("unit_id"), F.col("l_linenumber").alias("n"), data.alias("data"))
     trees = items.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("n", "data"))).alias("items"))
     tokens = F.concat(F.array(F.concat(F.lit("Block::"), F.size("items").cast("string"))), F.transform("items", lambda x: F.concat(F.lit("Item:"), x["data"], F.lit(":0"))))
-    keys = F.concat(F.array(F.xxhash64(F.lit("Block"))), F.transform("items", lambda x, i: F.xxhash64(i, x["data"])))
     count = (F.size("items") + 1).cast("int")
     return trees.select(
         "unit_id", F.lit("order").alias("kind"), F.concat(F.lit("order "), F.col("unit_id").cast("string")).alias("name"), F.lit("lineitem").alias("file"), F.lit(1).alias("line_start"), F.size("items").alias("line_end"),
-        fingerprint(F.concat(F.lit("None::0#"), F.array_join(tokens, "|"))).alias("fingerprint"), count.alias("node_count"), count.alias("body_count"), keys.alias("body_keys"), F.lit(None).cast("string").alias("parent_name"), F.lit(False).alias("is_test"),
+        fingerprint(F.concat(F.lit("None::0#"), F.array_join(tokens, "|"))).alias("fingerprint"), count.alias("node_count"), count.alias("body_count"), _keys_of(F.col("items")).alias("body_keys"), F.lit(None).cast("string").alias("parent_name"), F.lit(False).alias("is_test"),
     )
