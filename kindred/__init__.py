@@ -9,7 +9,7 @@ _PUBLIC = {
     "Analysis": "plans.analyze", "analyze_files": "plans.analyze", "analyze_path": "plans.analyze", "analyze_units": "plans.analyze",
     "Config": "config", "load_config": "config", "apply_overrides": "config",
     "Analyzer": "frontend.registry", "LANGUAGES": "frontend.registry", "extract": "frontend.registry", "parse_file": "frontend.registry", "parse_files": "frontend.registry", "register_udtfs": "frontend.registry",
-    "Capture": "frontend.mapping", "Cst": "frontend.mapping", "NodeMapping": "frontend.mapping", "mapped_analyzer": "frontend.mapping",
+    "Cst": "frontend.mapping", "Grammar": "frontend.mapping", "mapped_analyzer": "frontend.mapping", "parse_queries": "frontend.captures",
     "detect_language": "sources.files", "read_sources": "sources.files", "scan_files": "sources.files",
     "exact_groups": "operators.exact", "exact_members": "operators.exact", "live_fingerprints": "operators.exact", "ordinals": "operators.exact",
     "dice_pairs": "operators.near", "near_candidates": "operators.near", "near_components": "operators.near", "near_groups": "operators.near",

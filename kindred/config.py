@@ -25,11 +25,19 @@ class Config:
     root: Path = field(default_factory=lambda: Path("."))
 
 
-def _table(path: Path) -> dict:
-    """A TOML file's content; unreadable and malformed files count as empty."""
+def _text(path: Path) -> str:
+    """A file's content; an unreadable one counts as empty."""
     try:
-        return tomllib.loads(path.read_text(encoding="utf-8"))
+        return path.read_text(encoding="utf-8")
     except (OSError, ValueError):
+        return ""
+
+
+def _table(text: str) -> dict:
+    """What a TOML text says; a malformed one counts as empty."""
+    try:
+        return tomllib.loads(text)
+    except ValueError:
         return {}
 
 
@@ -54,13 +62,17 @@ def _layer(config: Config, values: object) -> Config:
     return replace(config, **{k: tuple(v) if k == "exclude" else float(v) if k in floats else v for k, v in known.items()})
 
 
-def load_config(root: str | Path) -> Config:
-    root = Path(root)
-    config = Config(root=root)
-    meta = _table(root / "Cargo.toml")
+def config_of(cargo: str, own: str, root: str | Path = ".") -> Config:
+    """Defaults under the metadata of a Cargo.toml under a dupes.toml, given as texts."""
+    meta = _table(cargo)
     for key in ("package", "metadata", "dupes"):
         meta = meta.get(key, {}) if isinstance(meta, dict) else {}
-    return _layer(_layer(config, meta), _table(root / "dupes.toml"))
+    return _layer(_layer(Config(root=Path(root)), meta), _table(own))
+
+
+def load_config(root: str | Path) -> Config:
+    root = Path(root)
+    return config_of(_text(root / "Cargo.toml"), _text(root / "dupes.toml"), root)
 
 
 def apply_overrides(config: Config, **overrides) -> Config:

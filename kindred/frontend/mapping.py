@@ -1,15 +1,23 @@
-"""Table-driven front-end: any concrete syntax tree, a table of its grammar's kinds, and capture rules for units.
+"""Front-end for concrete syntax trees: a grammar is one table from node kinds to rules.
 
-A concrete tree is anything with the attributes of ``Cst``.  The table says which kinds are identifiers, literals,
-operators and so on; whatever it does not name follows one rule: a leaf is opaque, a node with one named child is that
-child, others are blocks.
+A rule turns a concrete node into a normalized one, and may declare that nodes of its kind are units.  Rules name the
+parts of a node by short paths:
+
+    "left"          the node in a field, or an absent child
+    "arguments/*"   all members of the node in a field
+    "*"             all members: named children that the table does not drop
+    "*case"         the members of one kind
+
+Kinds without a rule are transparent: one member stands for its parent, several form a block, none is opaque.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from typing import Protocol
 
+from .captures import Query, matches
 from .registry import Analyzer
 from .tree import Node, Numbering, Unit, leaf, name_leaf, node, none
 
@@ -25,184 +33,139 @@ class Cst:
     line_end: int = 1
 
 
+class Rule(Protocol):
+    def build(self, x: Cst, grammar: Grammar) -> Node: ...
+
+
 @dataclass(frozen=True)
-class NodeMapping:
-    """Kinds of a grammar by meaning.  Every setter returns a changed copy."""
+class Name:
+    """An identifier; ``space`` is the kind of placeholder that it gets."""
 
-    identifier_kinds: frozenset[str] = frozenset()
-    literal_kinds: Mapping[str, str] = field(default_factory=dict)
-    binary_op_texts: Mapping[str, str] = field(default_factory=dict)
-    unary_op_texts: Mapping[str, str] = field(default_factory=dict)
-    direct_kinds: Mapping[str, str] = field(default_factory=dict)
-    skip_kinds: frozenset[str] = frozenset()
-    opaque_kinds: frozenset[str] = frozenset()
-    block_kinds: frozenset[str] = frozenset()
-    call_kinds: frozenset[str] = frozenset()
-    return_kinds: frozenset[str] = frozenset()
-    if_kinds: frozenset[str] = frozenset()
-    loop_kinds: frozenset[str] = frozenset()
-    for_loop_kinds: frozenset[str] = frozenset()
-    while_loop_kinds: frozenset[str] = frozenset()
-    match_kinds: frozenset[str] = frozenset()
-    assignment_kinds: frozenset[str] = frozenset()
-    function_def_kinds: frozenset[str] = frozenset()
-    binary_op_kinds: frozenset[str] = frozenset()
-    unary_op_kinds: frozenset[str] = frozenset()
-    match_arm_kinds: frozenset[str] = frozenset()
+    space: str = "Variable"
 
-    def _kinds(self, name: str, kinds: Sequence[str]) -> NodeMapping:
-        return replace(self, **{name: getattr(self, name) | frozenset(kinds)})
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        return name_leaf(self.space, x.text)
 
-    def _table(self, name: str, table: Mapping[str, str]) -> NodeMapping:
-        return replace(self, **{name: {**getattr(self, name), **table}})
 
-    def identifiers(self, *kinds: str) -> NodeMapping:
-        return self._kinds("identifier_kinds", kinds)
+@dataclass(frozen=True)
+class Leaf:
+    """A node that hides what is below it: a literal of some kind, or something opaque."""
 
-    def literals(self, table: Mapping[str, str]) -> NodeMapping:
-        return self._table("literal_kinds", table)
+    disc: str = "Opaque"
+    data: str = ""
 
-    def binary_ops(self, table: Mapping[str, str]) -> NodeMapping:
-        return self._table("binary_op_texts", table)
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        return leaf(self.disc, self.data)
 
-    def unary_ops(self, table: Mapping[str, str]) -> NodeMapping:
-        return self._table("unary_op_texts", table)
 
-    def node_kinds(self, table: Mapping[str, str]) -> NodeMapping:
-        return self._table("direct_kinds", table)
+class Dropped(Leaf):
+    """Left out among members, opaque where a field holds it."""
 
-    def skip(self, *kinds: str) -> NodeMapping:
-        return self._kinds("skip_kinds", kinds)
 
-    def opaque(self, *kinds: str) -> NodeMapping:
-        return self._kinds("opaque_kinds", kinds)
+@dataclass(frozen=True)
+class Shape:
+    """A node with the named parts."""
 
-    def blocks(self, *kinds: str) -> NodeMapping:
-        return self._kinds("block_kinds", kinds)
+    disc: str
+    parts: tuple[str, ...] = ("*",)
 
-    def calls(self, *kinds: str) -> NodeMapping:
-        return self._kinds("call_kinds", kinds)
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        return node(self.disc, *grammar.parts(x, self.parts))
 
-    def returns(self, *kinds: str) -> NodeMapping:
-        return self._kinds("return_kinds", kinds)
 
-    def ifs(self, *kinds: str) -> NodeMapping:
-        return self._kinds("if_kinds", kinds)
+@dataclass(frozen=True)
+class Infix:
+    """A binary operation; its operator is the first unnamed child.
 
-    def loops(self, *kinds: str) -> NodeMapping:
-        return self._kinds("loop_kinds", kinds)
+    Without both fields its members are the operands: more than two lean to the right, fewer are filled up.
+    """
 
-    def for_loops(self, *kinds: str) -> NodeMapping:
-        return self._kinds("for_loop_kinds", kinds)
+    operators: Mapping[str, str]
+    left: str = "left"
+    right: str = "right"
 
-    def while_loops(self, *kinds: str) -> NodeMapping:
-        return self._kinds("while_loop_kinds", kinds)
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        data = grammar.operator(x, self.operators)
+        sides = (self.left, self.right) if {self.left, self.right} <= x.fields.keys() else ("*",)
+        operands = grammar.parts(x, sides)
+        operands += [none()] * (2 - len(operands))
+        while len(operands) > 1:
+            b, a = operands.pop(), operands.pop()
+            operands.append(node("BinaryOp", a, b, data=data))
+        return operands[0]
 
-    def matches(self, *kinds: str) -> NodeMapping:
-        return self._kinds("match_kinds", kinds)
 
-    def assignments(self, *kinds: str) -> NodeMapping:
-        return self._kinds("assignment_kinds", kinds)
+@dataclass(frozen=True)
+class Prefix:
+    """A unary operation on the first of ``fields`` that is there, or on its first member."""
 
-    def function_defs(self, *kinds: str) -> NodeMapping:
-        return self._kinds("function_def_kinds", kinds)
+    operators: Mapping[str, str]
+    fields: tuple[str, ...] = ("argument", "operand")
 
-    def binary_nodes(self, *kinds: str) -> NodeMapping:
-        return self._kinds("binary_op_kinds", kinds)
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        held = [f for f in self.fields if f in x.fields]
+        operands = grammar.parts(x, (held[0],) if held else ("*",))
+        return node("UnaryOp", *(operands or [none()])[:1], data=grammar.operator(x, self.operators))
 
-    def unary_nodes(self, *kinds: str) -> NodeMapping:
-        return self._kinds("unary_op_kinds", kinds)
 
-    def match_arms(self, *kinds: str) -> NodeMapping:
-        return self._kinds("match_arm_kinds", kinds)
+@dataclass(frozen=True)
+class Defines:
+    """Nodes of this kind are units; where they lie inside another one they are shaped by ``within``."""
 
+    unit_kind: str = "function"
+    within: Rule = Shape("Block")
+    name: str = "name"
+    parameters: str = "parameters"
+    body: str = "body"
 
-class Normalizer:
-    def __init__(self, mapping: NodeMapping):
-        self.m = mapping
-        # in order of precedence
-        self.shapes: list[tuple[frozenset[str], Callable[[Cst], Node]]] = [
-            (mapping.if_kinds, lambda x: node("If", self.at(x, "condition"), self.at(x, "consequence"), self.at(x, "alternative"))),
-            (mapping.for_loop_kinds, lambda x: node("ForLoop", self.at(x, "left"), self.at(x, "right"), self.at(x, "body"))),
-            (mapping.while_loop_kinds, lambda x: node("While", self.at(x, "condition"), self.at(x, "body"))),
-            (mapping.loop_kinds, lambda x: node("Loop", self.at(x, "body"))),
-            (mapping.match_kinds, self.match),
-            (mapping.call_kinds, self.call),
-            (mapping.return_kinds, lambda x: node("Return", *self.kids(x))),
-            (mapping.block_kinds, lambda x: node("Block", *self.kids(x))),
-            (mapping.assignment_kinds, lambda x: node("Assign", self.at(x, "left"), self.at(x, "right"))),
-            (mapping.function_def_kinds, lambda x: node("Block", *self.kids(x))),
-            (mapping.binary_op_kinds, self.binary),
-            (mapping.unary_op_kinds, self.unary),
-        ]
+    def build(self, x: Cst, grammar: Grammar) -> Node:
+        return self.within.build(x, grammar)
 
-    def kids(self, x: Cst) -> list[Node]:
-        return [self(k) for k in self.named(x)]
 
-    def named(self, x: Cst) -> list[Cst]:
-        return [k for k in x.children if k.named and k.kind not in self.m.skip_kinds]
+OPAQUE, DROPPED, BLOCK = Leaf(), Dropped(), Shape("Block")
+BROKEN = frozenset({"ERROR", "MISSING"})  # kinds that tolerant parsers give to what they could not read
 
-    def at(self, x: Cst, name: str) -> Node:
-        return self(x.fields[name]) if name in x.fields else none()
 
-    @staticmethod
-    def operator(x: Cst) -> str:
-        return next((k.text for k in x.children if not k.named), "")
-
-    def match(self, x: Cst) -> Node:
-        arms = [node("MatchArm", self.at(k, "pattern"), self.at(k, "guard"), self.at(k, "consequence")) for k in self.named(x) if k.kind in self.m.match_arm_kinds]
-        return node("Match", self.at(x, "subject"), *arms)
-
-    def call(self, x: Cst) -> Node:
-        return node("Call", self.at(x, "function"), *(self.kids(x.fields["arguments"]) if "arguments" in x.fields else []))
-
-    def binary(self, x: Cst) -> Node:
-        kind = self.m.binary_op_texts.get(self.operator(x), "Other")
-        if "left" in x.fields and "right" in x.fields:
-            return node("BinaryOp", self.at(x, "left"), self.at(x, "right"), data=kind)
-        operands = self.kids(x)
-        if len(operands) < 2:
-            return node("BinaryOp", *operands, *[none()] * (2 - len(operands)), data=kind)
-        *front, out = operands
-        for left in reversed(front):
-            out = node("BinaryOp", left, out, data=kind)
-        return out
+class Grammar:
+    """Normalizes trees by its table, which maps a kind, or a tuple of kinds, to a rule."""
 
-    def unary(self, x: Cst) -> Node:
-        operand = x.fields.get("argument") or x.fields.get("operand") or next(iter(self.named(x)), None)
-        return node("UnaryOp", *([self(operand)] if operand else [none()]), data=self.m.unary_op_texts.get(self.operator(x), "Other"))
-
-    def __call__(self, x: Cst) -> Node:
-        m, kind = self.m, x.kind
-        if kind in ("ERROR", "MISSING") or kind in m.skip_kinds or kind in m.opaque_kinds:
-            return leaf("Opaque")
-        if kind in m.identifier_kinds:
-            return name_leaf("Variable", x.text)
-        if kind in m.literal_kinds:
-            return leaf("Literal", m.literal_kinds[kind])
-        if kind in m.direct_kinds:
-            return node(m.direct_kinds[kind], *self.kids(x))
-        for kinds, shape in self.shapes:
-            if kind in kinds:
-                return shape(x)
-        if not x.named:
-            return leaf("Opaque")
-        kids = self.kids(x)
-        return leaf("Opaque") if not kids else kids[0] if len(kids) == 1 else node("Block", *kids)
+    def __init__(self, table: Mapping[str | tuple[str, ...], Rule]):
+        self.rules: dict[str, Rule] = {}
+        for kinds, rule in table.items():
+            self.rules |= dict.fromkeys((kinds,) if isinstance(kinds, str) else kinds, rule)
+        self.rules |= dict.fromkeys(BROKEN, OPAQUE)
 
+    def members(self, x: Cst) -> list[Cst]:
+        return [c for c in x.children if c.named and not isinstance(self.rules.get(c.kind), Dropped)]
 
-@dataclass(frozen=True)
-class Capture:
-    """Units of one kind of node: the fields that hold its parts."""
+    def parts(self, x: Cst, paths: Sequence[str]) -> list[Node]:
+        out: list[Node] = []
+        for path in paths:
+            name, _, deep = path.partition("/")
+            if path.startswith("*"):
+                out += [self.normalize(c) for c in self.members(x) if path in ("*", "*" + c.kind)]
+            elif name not in x.fields:
+                out += [] if deep else [none()]
+            else:
+                out += self.parts(x.fields[name], (deep,)) if deep else [self.normalize(x.fields[name])]
+        return out
 
-    node_kind: str
-    unit_kind: str = "function"
-    name: str | None = "name"
-    parameters: str | None = "parameters"
-    body: str = "body"
+    @staticmethod
+    def operator(x: Cst, names: Mapping[str, str]) -> str:
+        signs = [c.text for c in x.children if not c.named]
+        return names.get(signs[0], "Other") if signs else "Other"
+
+    def normalize(self, x: Cst) -> Node:
+        if rule := self.rules.get(x.kind):
+            return rule.build(x, self)
+        below = self.parts(x, ("*",)) if x.named else []
+        if len(below) == 1:
+            return below[0]
+        return node("Block", *below) if below else leaf("Opaque")
 
 
-def _all(root: Cst) -> Iterator[Cst]:
+def nodes_of(root: Cst) -> Iterator[Cst]:
+    """In preorder."""
     stack = [root]
     while stack:
         x = stack.pop()
@@ -210,21 +173,31 @@ def _all(root: Cst) -> Iterator[Cst]:
         stack.extend(reversed(x.children))
 
 
-def cst_units(root: Cst, path: str, mapping: NodeMapping, captures: Sequence[Capture], is_test: Callable[[str, str], bool] = lambda kind, name: False) -> list[Unit]:
-    """Units in preorder.  Each has its own numbering, shared by parameters and body."""
-    normalize, by_kind, out = Normalizer(mapping), {c.node_kind: c for c in captures}, []
-    for x in _all(root):
-        c = by_kind.get(x.kind)
-        if c is None or c.body not in x.fields:
+def _found(root: Cst, grammar: Grammar, queries: Sequence[Query]) -> Iterator[tuple[Cst, str, Mapping[str, Cst]]]:
+    """(node, unit kind, parts by name) of declared units, or of what the queries capture where there are any."""
+    for x in nodes_of(root):
+        if queries:
+            for query in queries:
+                if captured := matches(query, x):
+                    yield x, query.unit_kind, captured
+        elif isinstance(rule := grammar.rules.get(x.kind), Defines):
+            yield x, rule.unit_kind, {part: x.fields[f] for part, f in (("name", rule.name), ("parameters", rule.parameters), ("body", rule.body)) if f in x.fields}
+
+
+def cst_units(root: Cst, path: str, grammar: Grammar, queries: Sequence[Query] = (), is_test: Callable[[str, str], bool] = lambda kind, name: False) -> list[Unit]:
+    """Units in preorder, those without a body left out.  Each numbers its names anew, parameters before body."""
+    out = []
+    for x, kind, parts in _found(root, grammar, queries):
+        if "body" not in parts:
             continue
         numbers = Numbering()
-        signature = normalize(x.fields[c.parameters]) if c.parameters in x.fields else none()
-        name = x.fields[c.name].text if c.name in x.fields else f"anonymous at {path}:{x.line_start}"
-        signature, body = numbers.resolve(signature), numbers.resolve(normalize(x.fields[c.body]))
-        out.append(Unit(c.unit_kind, name, x.line_start, x.line_end, signature, body, is_test(c.unit_kind, name)))
+        signature = numbers.resolve(grammar.normalize(parts["parameters"]) if "parameters" in parts else none())
+        body = numbers.resolve(grammar.normalize(parts["body"]))
+        name = parts["name"].text if "name" in parts else f"anonymous at {path}:{x.line_start}"
+        out.append(Unit(kind, name, x.line_start, x.line_end, signature, body, is_test(kind, name)))
     return out
 
 
-def mapped_analyzer(name: str, extensions: Sequence[str], parse: Callable[[str], Cst], mapping: NodeMapping, captures: Sequence[Capture], is_test: Callable[[str, str], bool] = lambda kind, name: False) -> Analyzer:
-    """An analyzer from a parser of concrete trees, a table and captures."""
-    return Analyzer(name, tuple(extensions), lambda path, text: cst_units(parse(text), path, mapping, captures, is_test))
+def mapped_analyzer(name: str, extensions: Sequence[str], parse: Callable[[str], Cst], grammar: Grammar, queries: Sequence[Query] = (), is_test: Callable[[str, str], bool] = lambda kind, name: False) -> Analyzer:
+    """An analyzer from a parser of concrete trees, a grammar and, if wanted, queries that capture units."""
+    return Analyzer(name, tuple(extensions), lambda path, text: cst_units(parse(text), path, grammar, queries, is_test))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,12 +33,27 @@ LANGUAGES: dict[str, Analyzer] = {
     "rust": Analyzer("rust", ("rs",), rust_units),
 }
 
+ID_BITS = 32  # of a unit's place in its file, below the number of the file
+FRAMES = 400_000  # Python's own calls take no C stack, so nesting is bounded by memory alone
+
+
+@contextmanager
+def deep_recursion():
+    """Lets parsers follow nested sources far beyond Python's default limit."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, FRAMES))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 _UNIT = schema.names(schema.UNITS)
 EXTRACTED = f"section string, warning string, {schema.UNITS}"
 
 
 def parse_file(analyzer: Analyzer, path: str) -> list[Unit]:
-    with open(path, encoding="utf-8", newline="") as f:
+    with open(path, encoding="utf-8", newline="") as f, deep_recursion():
         return analyzer.parse(path, f.read())
 
 
@@ -56,13 +73,15 @@ def _row(section: str, unit_id: int, u: Unit, path: str, tree, print_: str, n: i
 
 
 def file_rows(analyzer: Analyzer, file_no: int, path: str, text: str, min_nodes: int, min_lines: int, min_sub_nodes: int | None) -> Iterator[dict]:
-    """Rows of EXTRACTED: units, then (if asked for) their sub-units, or one warning.  Ids ascend with file and position."""
+    """Rows of EXTRACTED: units, then (if asked for) their sub-units, or one warning.  Ids ascend with file and position;
+    a text is one value of less than 2**31 bytes, so ID_BITS have room for all that it can hold."""
     try:
-        units = admitted(analyzer.parse(path, text), min_nodes, min_lines)
+        with deep_recursion():
+            units = admitted(analyzer.parse(path, text), min_nodes, min_lines)
     except (RustSyntaxError, RecursionError, ValueError) as e:
         yield dict.fromkeys(["section", *_UNIT]) | {"section": "warning", "warning": f"Failed to parse {path}: {e}"}
         return
-    base = file_no << 20
+    base = file_no << ID_BITS
     n_sub = 0
     for i, u in enumerate(units):
         yield _row("unit", base + i, u, path, u.body, u.fingerprint(), u.node_count, u.kind, u.name, None, analyzer.is_test(u))

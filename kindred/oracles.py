@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle_samples as expected
 from .operators.stats import COUNTERS
 from .queries import ORDER_THRESHOLD, SUB_THRESHOLD, THRESHOLD
 
@@ -146,7 +147,12 @@ SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') TH
     "report_text_near": f"WITH RECURSIVE {UNITS}{EXACT}{TEXT_NEAR}, g AS (SELECT *, row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) AS ordinal FROM near), m AS (SELECT ordinal, fingerprint, n_members, similarity, unnest(members) AS unit_id FROM g) {_TEXT_ROWS.format(alike=_ALIKE, parent='', units='unit')}",
     "report_text_sub": f"WITH RECURSIVE {_LINE_UNITS}{EXACT}{_LINE_PAIRS}, g AS (SELECT 'sub_exact' AS section, fingerprint, similarity, n_members, members, row_number() OVER (ORDER BY n_members DESC, fingerprint) AS ordinal FROM exact UNION ALL SELECT 'sub_near', fingerprint, similarity, n_members, members, row_number() OVER (ORDER BY n_members DESC, similarity DESC, fingerprint) FROM near), m AS (SELECT section, ordinal, fingerprint, n_members, similarity, unnest(members) AS unit_id FROM g) "
     + _TEXT_ROWS.format(alike=f"CASE section WHEN 'sub_near' THEN {_ALIKE_VALUE} ELSE '' END || ", parent="' in ' || parent_name || ", units="unit").replace("SELECT ordinal", "SELECT section, ordinal", 1),
-    "config_precedence": "SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN 25 END, CASE WHEN user_id % 2 = 0 THEN 15 END, 10) AS min_nodes FROM events",
+    "python_units": expected.units_sql("PYTHON", expected.PYTHON),
+    "rust_units": expected.units_sql("RUST", expected.RUST),
+    "mapped_units": expected.units_sql("BRACES", expected.BRACES),
+    "config_precedence": """SELECT * FROM (VALUES ('defaults', 10, 0.9::DOUBLE, '', NULL, 0, FALSE, FALSE, 5), ('metadata', 15, 0.9, 'a', NULL, 0, FALSE, FALSE, 5), ('file over metadata', 25, 1.0, '', NULL, 3, FALSE, FALSE, 5),
+  ('overrides', 5, 0.9, 'x,y,z', NULL, 0, TRUE, FALSE, 5), ('ill-typed file', 10, 0.9, '', 2, 0, FALSE, FALSE, 5), ('malformed files', 10, 0.9, '', NULL, 0, FALSE, TRUE, 7))
+  AS t(name, min_nodes, similarity_threshold, exclude, max_exact_duplicates, min_lines, exclude_tests, sub_function, min_sub_nodes)""",
 }
 
 

@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import Config
+from . import samples
+from .config import apply_overrides, config_of
 from .functions.fingerprints import composite, parse_hex
 from .operators.exact import exact_members, gathered, live_fingerprints, ordinals
 from .operators.ignore import drop_ignored, live_entries, stale_entries, upsert
 from .operators.near import bucket_sizes, dice_pairs, first_occurrence_rank, near_candidates, near_components, near_members
 from .operators.stats import check_limits, rollup, stats
 from .report import group_json, member_lines, stats_json
+from .schema import SOURCE_FILES
 from .scratch import Scratch
 from .sources.files import extension, has_extension, is_excluded
 from .sources.tabular import line_nodes, order_units, text_nodes, text_sub_units, text_units
@@ -274,70 +276,56 @@ def report_json_stats(spark, d):
     return stats_json(stats_text(spark, d))
 
 
-def config_precedence(spark, d):
-    """Three layers of settings, later ones first: here a value by event type, by user, and a default."""
-    default = Config()
-    events = _t(spark, d, "events").select("event_id", F.when(F.col("event_type") == "click", 25).alias("file"), F.when(F.col("user_id") % 2 == 0, 15).alias("meta"))
-    return events.select("event_id", F.coalesce("file", "meta", F.lit(default.min_nodes)).alias("min_nodes"))
-
-
-def _sources(spark, texts):
-    return spark.createDataFrame([(i, name, text, None) for i, (name, text) in enumerate(texts)], "file_no long, file string, content string, read_error string")
+CONFIGS = {  # (Cargo.toml, dupes.toml, overrides)
+    "defaults": ("", "", {}),
+    "metadata": ("[package.metadata.dupes]\nmin_nodes = 15\nexclude = ['a']", "", {}),
+    "file over metadata": ("[package.metadata.dupes]\nmin_nodes = 15\nmin_lines = 3", "min_nodes = 25\nsimilarity_threshold = 1\nunknown = 7", {}),
+    "overrides": ("", "min_nodes = 25\nexclude = ['x']\nexclude_tests = true", {"min_nodes": 5, "exclude": ["y", "z"], "exclude_tests": False, "similarity_threshold": None}),
+    "ill-typed file": ("[package.metadata.dupes]\nmax_exact_duplicates = 2", "min_nodes = 'many'\nmin_lines = 9", {}),
+    "malformed files": ("[package", "= 1", {"sub_function": True, "min_sub_nodes": 7}),
+}
 
 
-PYTHON_SAMPLE = '''def total(xs):
-    out = 0
-    for x in xs:
-        if x > 0:
-            out += x
-    return out
+def config_precedence(spark, d):
+    """Layers of settings, later ones first: command line, own file, metadata, defaults."""
+    made = {name: apply_overrides(config_of(cargo, own), **given) for name, (cargo, own, given) in CONFIGS.items()}
+    rows = [(n, c.min_nodes, c.similarity_threshold, ",".join(c.exclude), c.max_exact_duplicates, c.min_lines, c.exclude_tests, c.sub_function, c.min_sub_nodes) for n, c in made.items()]
+    return spark.createDataFrame(rows, "name string, min_nodes long, similarity_threshold double, exclude string, max_exact_duplicates long, min_lines long, exclude_tests boolean, sub_function boolean, min_sub_nodes long")
 
 
-def amount(values):
-    result = 0
-    for v in values:
-        if v > 0:
-            result += v
-    return result
+def _sample_units(spark, analyzer, files):
+    from .frontend.registry import extract
 
+    sources = spark.createDataFrame([(i, name, text, None) for i, (name, text) in enumerate(files.items())], SOURCE_FILES)
+    columns = ("section", "file", "kind", "name", "line_start", "line_end", "node_count", "fingerprint", "parent_name", "is_test", "warning")
+    return extract(sources, analyzer, min_nodes=1, min_sub_nodes=3).select(*columns)
 
-class Box:
-    def get(self, key):
-        return self.items[key] if key in self.items else None
-'''
-RUST_SAMPLE = """fn total(xs: &[i32]) -> i32 {
-    let mut out = 0;
-    for x in xs { if *x > 0 { out += *x; } }
-    out
-}
 
-fn amount(values: &[i32]) -> i32 {
-    let mut result = 0;
-    for v in values { if *v > 0 { result += *v; } }
-    result
-}
+def python_units(spark, d):
+    """Units and sub-units of sample sources, as no table holds any."""
+    from .frontend.registry import LANGUAGES
 
-impl Shape { fn area(&self) -> f64 { self.sides.iter().map(|s| s.width * s.height).sum() } }
-"""
+    return _sample_units(spark, LANGUAGES["python"], samples.PYTHON)
 
 
-def python_units(spark, d):
-    from .frontend.registry import LANGUAGES, extract
+def rust_units(spark, d):
+    from .frontend.registry import LANGUAGES
 
-    return extract(_sources(spark, [("sample.py", PYTHON_SAMPLE)]), LANGUAGES["python"], min_nodes=1).drop("body_keys")
+    return _sample_units(spark, LANGUAGES["rust"], samples.RUST)
 
 
-def rust_units(spark, d):
-    from .frontend.registry import LANGUAGES, extract
+def mapped_units(spark, d):
+    """A mapped grammar with a tolerant parser and queries that capture units."""
+    from .frontend.braces import ANALYZER
 
-    return extract(_sources(spark, [("sample.rs", RUST_SAMPLE)]), LANGUAGES["rust"], min_nodes=1, min_sub_nodes=3).drop("body_keys")
+    return _sample_units(spark, ANALYZER, samples.BRACES)
 
 
 ALL = (
     scan_exclude_paths, language_counts, language_detect, units_text, units_orders, text_tree_nodes, placeholder_index, reindexed_subtree, fingerprints, fingerprint_parse, composite_fingerprint,
     exact_groups_text, exact_groups_orders, exact_members_text, size_buckets, near_candidates_text, dice_pairs_text, dice_pairs_orders, near_components_text, near_groups_text, near_members_text, tests_excluded,
     sub_units, sub_exact_groups, sub_near_groups, live_fingerprints_text, ignore_filter, ignore_stale, ignore_live, ignore_upsert, stats_text, stats_with_sub, stats_rollup, check_limits_text, group_ordinals,
-    report_json_rows, report_json_near, report_json_stats, report_text_rows, report_text_near, report_text_sub, config_precedence, python_units, rust_units,
+    report_json_rows, report_json_near, report_json_stats, report_text_rows, report_text_near, report_text_sub, config_precedence, python_units, rust_units, mapped_units,
 )
 
 

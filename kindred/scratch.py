@@ -1,11 +1,13 @@
 """Tables in the folder that driver and executors share.
 
 Operators with several passes write each intermediate result there and read it again.  That cuts lineage in a
-way that survives lost executors, fixes the rows that later passes see, and lets finished shuffles be deleted.
+way that survives lost executors, fixes the rows that later passes see, and lets finished shuffles be deleted.  What an
+operator returns reads its last tables, so they stay until the driver ends or ``clear`` is called.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -14,6 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete the folders of all runs: when the driver ends, or earlier if no frame that an operator returned is needed."""
+    while _roots:
+        try:
+            _delete(*_roots.pop())
+        except Exception:  # noqa: BLE001 - the JVM may be gone already
+            return
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        _roots.append((spark, self.root))
 
     @contextmanager
     def shuffles_deleted(self):
@@ -61,7 +82,5 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later plan reads."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            _delete(self.spark, table._scratch_path)

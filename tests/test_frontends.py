@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import pytest
 
-from kindred.frontend.mapping import Capture, Cst, NodeMapping, Normalizer, cst_units
+from kindred.frontend import braces
+from kindred.frontend.captures import parse_queries
+from kindred.frontend.mapping import BLOCK, DROPPED, Cst, Defines, Grammar, Infix, Leaf, Name, Prefix, Shape, cst_units
 from kindred.frontend.python_source import python_units
 from kindred.frontend.rust_source import RustSyntaxError, rust_units
 from kindred.frontend.tree import Numbering, canonical, count, sub_units
@@ -173,14 +175,36 @@ def test_mapped_grammar():
     ident = lambda s: Cst("id", s)
     op = Cst("+", "+", named=False)
     add = Cst("sum", children=[ident("a"), op, ident("b"), Cst("comment"), ident("a")])
-    m = NodeMapping().identifiers("id").literals({"int": "Int"}).binary_ops({"+": "Add"}).binary_nodes("sum").skip("comment").calls("call").returns("ret").blocks("block").node_kinds({"list": "Array"}).matches("match").match_arms("arm")
-    shape = lambda x: canonical(Numbering().resolve(Normalizer(m)(x)))
+    g = Grammar({"id": Name(), "int": Leaf("Literal", "Int"), "sum": Infix({"+": "Add"}), "minus": Prefix({"-": "Neg"}), "comment": DROPPED, ("call", "new"): Shape("Call", ("function", "arguments/*")), "ret": Shape("Return"), "block": BLOCK, "list": Shape("Array"), "match": Shape("Match", ("subject", "*arm")), "arm": Shape("MatchArm", ("pattern", "guard", "consequence")), "fn": Defines()})
+    shape = lambda x: canonical(Numbering().resolve(g.normalize(x)))
     assert shape(add) == "BinaryOp:Add:2|Placeholder:Variable#0:0|BinaryOp:Add:2|Placeholder:Variable#1:0|Placeholder:Variable#0:0"
-    assert shape(Cst("paren", children=[ident("x")])) == "Placeholder:Variable#0:0"
+    assert shape(Cst("sum", children=[ident("a")])) == "BinaryOp:Other:2|Placeholder:Variable#0:0|None::0"
+    assert shape(Cst("sum", children=[Cst("?", "?", named=False)], fields={"left": ident("a"), "right": Cst("int")})) == "BinaryOp:Other:2|Placeholder:Variable#0:0|Literal:Int:0"
+    assert shape(Cst("minus", children=[Cst("-", "-", named=False), ident("x")])) == "UnaryOp:Neg:1|Placeholder:Variable#0:0" and shape(Cst("minus")) == "UnaryOp:Other:1|None::0"
+    assert shape(Cst("paren", children=[ident("x")])) == "Placeholder:Variable#0:0" and shape(Cst("comment")) == "Opaque::0"
     assert shape(Cst("pass")) == "Opaque::0" and shape(Cst("two", children=[Cst("int"), Cst("int")])) == "Block::2|Literal:Int:0|Literal:Int:0"
     assert shape(Cst("ERROR", children=[ident("x")])) == "Opaque::0"
-    assert shape(Cst("call", fields={"function": ident("f"), "arguments": Cst("args", children=[Cst("int")])})) == "Call::2|Placeholder:Variable#0:0|Literal:Int:0"
-    assert shape(Cst("match", children=[Cst("arm", fields={"pattern": Cst("int"), "consequence": Cst("block")})], fields={"subject": ident("x")})) == "Match::2|Placeholder:Variable#0:0|MatchArm::3|Literal:Int:0|None::0|Block::0"
+    assert shape(Cst("new", fields={"function": ident("f"), "arguments": Cst("args", children=[Cst("int")])})) == "Call::2|Placeholder:Variable#0:0|Literal:Int:0"
+    assert shape(Cst("call", fields={"function": ident("f")})) == "Call::1|Placeholder:Variable#0:0"
+    assert shape(Cst("match", children=[Cst("int"), Cst("arm", fields={"pattern": Cst("int"), "consequence": Cst("block")})], fields={"subject": ident("x")})) == "Match::2|Placeholder:Variable#0:0|MatchArm::3|Literal:Int:0|None::0|Block::0"
     fn = Cst("fn", children=[], fields={"name": ident("go"), "parameters": Cst("args", children=[ident("a")]), "body": Cst("block", children=[add])}, line_end=3)
-    (u,) = cst_units(Cst("file", children=[fn]), "x", m, [Capture("fn")])
+    root = Cst("file", children=[fn, Cst("fn", fields={"name": ident("declared")})])
+    (u,) = cst_units(root, "x", g)
     assert (u.name, u.line_end, u.node_count) == ("go", 3, 7)
+    (v,) = cst_units(root, "x", g, parse_queries("(fn parameters: (_ (id)) @parameters other: (id)? body: (block) @body) @method ; all"))
+    assert (v.kind, v.name, v.fingerprint()) == ("method", "anonymous at x:1", u.fingerprint())
+
+
+@pytest.mark.parametrize("text", ["fn", "(fn", "(fn name:)", "()", "(fn) %"])
+def test_queries_that_are_none(text):
+    with pytest.raises(ValueError):
+        parse_queries(text)
+
+
+def test_tolerant_parser():
+    names = lambda text: [(u.kind, u.name) for u in braces.ANALYZER.parse("a.bs", text)]
+    assert names("function a() { x = 1; } function b( { y; } function c() { let z = ; f(function (p) { return p; }); }") == [("function", "a"), ("function", "c"), ("closure", "anonymous at a.bs:1")]
+    assert [(u.kind, u.name) for u in cst_units(braces.parse("function a() { g(() => 1); }"), "a.bs", braces.GRAMMAR)] == [("function", "a"), ("closure", "anonymous at a.bs:1")]
+    for broken in ("", "}}}", "{{{ ( [", "function", "if (", "(" * 5000, "x = 'open", "/* open", "a..b; function ok() { return; }"):
+        assert braces.parse(broken).kind == "program"
+    assert names("a..b; function ok() { return; }") == [("function", "ok")]
