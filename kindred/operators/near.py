@@ -100,14 +100,23 @@ def index_pairs(index: DataFrame, threshold: float) -> DataFrame:
 
 
 CELL_PAIRS = 64  # pairs of a cell that are judged in the time of one pair of rows
+KEY_PAIRS = 200  # and in the time that one key costs an index
 
 
 def prefix_pairs(candidates: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """The same pairs as bucket_pairs, for thresholds above 0: the index drops who has no partner, and the rest meet in
-    its lists or in the cells of their buckets, whichever costs less."""
+    """The same pairs as bucket_pairs, for thresholds above 0.
+
+    Buckets whose pairs cost less than an index of their keys are judged in cells at once.  Otherwise the index drops who
+    has no partner, and the rest meet in its lists or in cells, whichever costs less.
+    """
+    pairs = F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)
+    buckets = _sides(candidates).groupBy("kind", "bucket").agg(F.count("*").alias("n"), F.sum("body_count").alias("held"))
+    cost = buckets.agg(pairs.alias("pairs"), F.sum("held").alias("held")).first()
+    if (cost.pairs or 0) <= KEY_PAIRS * (cost.held or 0):
+        return bucket_pairs(candidates, threshold, scratch)
     index = scratch.write(prefix_index(candidates, threshold), "prefixes")
     lists = index.select("kind", "bucket", F.explode(F.slice("keys", 1, F.col("first"))).alias("key")).groupBy("kind", "bucket", "key").agg(F.count("*").alias("n"))
-    total = lambda df: df.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    total = lambda df: df.agg(pairs).first()[0] or 0.0
     in_buckets = total(index.groupBy("kind", "bucket").agg(F.count("*").alias("n"))) <= CELL_PAIRS * total(lists)
     if in_buckets:
         kept = index.select("unit_id", "kind", "bucket", "body_count", "keys")

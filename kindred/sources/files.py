@@ -61,7 +61,12 @@ def scan_files(root: str | Path, exclude: Sequence[str] = (), extensions: Iterab
 
 def detect_language(root: str | Path) -> str:
     """The one language whose files lie below root; excludes do not count."""
-    seen = {_suffix(f) for f in walk(root)}
+    return language_of(walk(root))
+
+
+def language_of(files: Iterable[str]) -> str:
+    """The one language that the files are in, by their extensions; others do not matter."""
+    seen = {_suffix(f) for f in files}
     found = [name for name, a in LANGUAGES.items() if seen & set(a.extensions)]
     if not found:
         raise NoRecognizedFiles

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,12 @@ def _lines(text: str | None) -> list[list[str]]:
     return [[t for t in line.split(" ") if t] for line in (text or "").split("\n")]
 
 
+_variables: list[str] = []  # their tokens in the canonical form, made when first met
+
+
 def _canonical(codes: list[int]) -> str:
-    return "".join(["|Literal:Int:0" if c == LITERAL else f"|Placeholder:Variable#{c}:0" for c in codes])
+    _variables.extend(f"|Placeholder:Variable#{c}:0" for c in range(len(_variables), max(codes, default=LITERAL) + 1))
+    return "".join([_variables[c] if c >= 0 else "|Literal:Int:0" for c in codes])
 
 
 def _path_keys(line: np.ndarray, nth: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -49,15 +54,32 @@ def _path_keys(line: np.ndarray, nth: np.ndarray, code: np.ndarray) -> np.ndarra
     return x.view(np.int64)
 
 
-def _laid_out(lines: list[list[int]], first_line: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, place in it or -1 for its block, code) of the nodes below the root, in preorder."""
+def _laid_out(lines: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place in it or -1 for its block, code) of the nodes of all lines, in preorder."""
     counts = np.array([len(x) + 1 for x in lines], np.int64)
     starts = np.cumsum(counts) - counts
     line = np.repeat(np.arange(len(lines)), counts)
     nth = np.arange(len(line)) - starts[line] - 1
     code = np.full(len(line), LINE, np.int64)
-    code[nth >= 0] = np.fromiter((c for x in lines for c in x), np.int64)
-    return line + first_line, nth, code
+    code[nth >= 0] = np.fromiter(chain.from_iterable(lines), np.int64)
+    return line, nth, code
+
+
+def _lists(sizes: list[int] | np.ndarray, values: np.ndarray) -> pa.ListArray:
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
+
+
+def _text_keys(texts: list[list[list[int]]]) -> pa.ListArray:
+    """Path keys of whole texts, given as the codes of their lines: root, then line by line."""
+    own = np.array([len(lines) for lines in texts], np.int64)
+    line, nth, code = _laid_out(list(chain.from_iterable(texts)))
+    first = np.repeat(np.cumsum(own) - own, own)  # of a line's text, the number of its first line
+    below = np.bincount(np.repeat(np.arange(len(own)), own)[line], minlength=len(own))
+    roots = np.cumsum(below) - below
+    line, nth, code = (np.insert(x, roots, r) for x, r in ((line - first[line], -1), (nth, -1), (code, ROOT)))
+    return _lists(below + 1, _path_keys(line, nth, code))
 
 
 _NODES = pa.schema([("unit_id", pa.int64()), *[(c, pa.int32()) for c in ("pos", "line_no", "nth", "code", "n_children")]])
@@ -90,7 +112,7 @@ def _described(nodes: DataFrame) -> DataFrame:
 
 def _exploded(texts: DataFrame, whole: bool) -> DataFrame:
     ship(texts.sparkSession)
-    rows = texts.select(F.col("unit_id").cast("long"), F.col("text").cast("string"))
+    rows = _spread(texts.select(F.col("unit_id").cast("long"), F.col("text").cast("string")))
     return _described(rows.mapInArrow(_node_rows(whole), "unit_id long, pos int, line_no int, nth int, code int, n_children int"))
 
 
@@ -124,17 +146,17 @@ def _md5(text: str) -> str:
 def _text_trees(with_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            prints, counts, keys = [], [], []
+            prints, counts, held = [], [], []
             for text in batch.column("text").to_pylist():
                 numbers: dict[str, int] = {}
                 lines = [_codes(tokens, numbers) for tokens in _lines(text)]
                 prints.append(_md5(f"None::0#Block::{len(lines)}" + "".join([f"|Block::{len(x)}{_canonical(x)}" for x in lines])))
                 counts.append(1 + sum(len(x) + 1 for x in lines))
                 if with_keys:
-                    keys.append(_path_keys(*(np.concatenate([[x], y]) for x, y in zip((-1, -1, ROOT), _laid_out(lines), strict=True))))
+                    held.append(lines)
             columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
             names = [n for n in batch.schema.names if n != "text"]
-            out = [pa.array(prints, pa.string()), pa.array(counts, pa.int32()), pa.array(keys if with_keys else [None] * len(counts), pa.list_(pa.int64()))]
+            out = [pa.array(prints, pa.string()), pa.array(counts, pa.int32()), _text_keys(held) if with_keys else pa.nulls(len(counts), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, *out], names=[*names, "fingerprint", "body_count", "body_keys"])
 
     return run
@@ -143,7 +165,14 @@ def _text_trees(with_keys: bool):
 _ABOUT = "unit_id long, kind string, name string, file string, line_start int, line_end int"
 
 
+def _spread(docs: DataFrame) -> DataFrame:
+    """Small tables may come in fewer pieces than there are cores; larger ones are taken as they lie."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _about(docs: DataFrame) -> DataFrame:
+    docs = _spread(docs.select("doc_id", "text", "lang", "source"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("unit_id"), F.col("lang").cast("string").alias("kind"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"),
@@ -172,16 +201,23 @@ def _line_trees(min_nodes: int, with_keys: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found: list[tuple] = []
+            held: list[list[int]] = []
             for doc, name, file, end, text in zip(*(batch.column(c).to_pylist() for c in ("unit_id", "name", "file", "line_end", "text")), strict=True):
                 for i, tokens in enumerate(_lines(text)):
                     if len(tokens) + 1 < min_nodes:
                         continue
                     codes = _codes(tokens, {})
-                    keys = _path_keys(*_laid_out([codes])) if with_keys else None
-                    found.append((doc, i, file, end, _md5(f"Block::{len(codes)}{_canonical(codes)}"), len(codes) + 1, keys, name))
-            columns = list(zip(*found, strict=True)) or [[]] * 8
-            types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "line", "file", "line_end", "fingerprint", "body_count", "body_keys", "parent_name"])
+                    held.append(codes)
+                    found.append((doc, i, file, end, _md5(f"Block::{len(codes)}{_canonical(codes)}"), len(codes) + 1, name))
+            columns = list(zip(*found, strict=True)) or [[]] * 7
+            types = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            out = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            if with_keys:
+                line, nth, code = _laid_out(held)
+                keys = _lists([len(x) + 1 for x in held], _path_keys(np.zeros(len(line), np.int64), nth, code))
+            else:
+                keys = pa.nulls(len(held), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out, keys], names=["doc_id", "line", "file", "line_end", "fingerprint", "body_count", "parent_name", "body_keys"])
 
     return run
 
@@ -193,7 +229,7 @@ def text_sub_units(docs: DataFrame, scratch: Scratch, min_sub_nodes: int = 5, wi
     """
     ship(docs.sparkSession)
     rows = _about(docs).select("unit_id", "name", "file", "line_end", "text")
-    lines = rows.mapInArrow(_line_trees(min_sub_nodes, with_keys), "doc_id long, line int, file string, line_end int, fingerprint string, body_count int, body_keys array<long>, parent_name string")
+    lines = rows.mapInArrow(_line_trees(min_sub_nodes, with_keys), "doc_id long, line int, file string, line_end int, fingerprint string, body_count int, parent_name string, body_keys array<long>")
     return with_rank(lines, ["doc_id", "line"], "unit_id", scratch).select(
         "unit_id", F.lit("block").alias("kind"), F.concat(F.lit("line "), (F.col("line") + 1).cast("string")).alias("name"), "file",
         F.lit(1).alias("line_start"), "line_end", "fingerprint", F.col("body_count").alias("node_count"), "body_count", "body_keys", "parent_name", F.lit(False).alias("is_test"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kindred.functions.fingerprints import composite, parse_hex, valid_hex
 from kindred.functions.similarity import size_bucket
+from kindred.operators import cells, near
 from kindred.operators.components import components
 from kindred.operators.exact import exact_groups, exact_members, live_fingerprints, ordinals
 from kindred.operators.ignore import drop_ignored, ignore_frame, live_entries, stale_entries, upsert, without
@@ -48,8 +49,11 @@ def test_size_buckets(spark):
     assert all(r.b == (int(r.id).bit_length() - 1 if r.id else 0) for r in got)
 
 
-@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.8, 0.9, 1.0, 0.0, -1.0, 1.5])
-def test_prefix_join_equals_all_pairs(spark, threshold):
+@pytest.mark.parametrize(("threshold", "cell_pairs"), [(0.3, 0), (0.6, 64), (0.8, 0), (0.9, 64), (1.0, 0), (0.0, 64), (-1.0, 64), (1.5, 64)])
+def test_prefix_join_equals_all_pairs(spark, monkeypatch, threshold, cell_pairs):
+    monkeypatch.setattr(near, "KEY_PAIRS", 0)
+    monkeypatch.setattr(near, "CELL_PAIRS", cell_pairs)
+    monkeypatch.setattr(cells, "SETS", 9)
     rng = random.Random(int(threshold * 10))
     rows = []
     for i in range(70):
@@ -64,7 +68,7 @@ def test_prefix_join_equals_all_pairs(spark, threshold):
             want.add((a[0], b[0], score))
     assert {tuple(r) for r in dice_pairs(u, threshold).collect()} == want
     assert {tuple(r) for r in bucket_pairs(u, threshold).collect()} == want
-    if threshold > 0:
+    if 0 < threshold <= 1:
         filled = {x for x in want if rows[x[0]][8]}
         assert {tuple(r) for r in index_pairs(prefix_index(u, threshold), threshold).collect()} == filled
 
