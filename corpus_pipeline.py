@@ -46,10 +46,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, ngram_join(docs, width=5, percent=80).where("doc_id = component_id"))
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as its source's target asks for; repeated rows as often as all of them together."""
-    copies = mix_sources(docs, weights=(5, 2, 1), share=1.5, max_repeats=2).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("copies"))
-    return _once(docs).join(copies.hint("shuffle_hash"), "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    times, nth = _unused("copies", docs.columns), _unused("copy", docs.columns)
+    asked = mix_sources(docs, weights=(5, 2, 1), share=1.5, max_repeats=2).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias(times))
+    repeated = _once(docs).join(asked.hint("shuffle_hash"), "doc_id").select("*", F.explode(F.sequence(F.lit(1), F.col(times))).alias(nth))
+    return repeated.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
