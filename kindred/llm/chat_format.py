@@ -59,7 +59,8 @@ def format_chats(rows: DataFrame, template: Template | None = None, id_col: str
     machine names the first turn out of order (``error_turn``, from 0; null if none); a conversation is valid if there
     is none and it ends in a final state.  Invalid ones are formatted too: the caller decides.  Only the escaped text of
     a learned role has its loss flag set; marks and roles never have.  A null id is a conversation of its own;
-    repeated rows are turns like any other; an empty table gives no rows.
+    repeated rows are turns like any other; texts of any length are formatted whole; other columns are ignored, whatever
+    their names; an empty table gives no rows.
 
     One shuffle by conversation.  A conversation is one value, so it must fit in a task; nothing else is gathered.
     """

@@ -219,7 +219,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     docs: any table with a unique integer id and a text; other columns are ignored, whatever their names.  A-Z are
     lower-cased.  A document of fewer than ``width`` words has one n-gram, its whole sequence; null, empty and blank
-    texts have none, link with nothing and are their own component.  ``class_id`` is the smallest id with the same
+    texts have none, link with nothing and are their own component; texts and words of any length are read whole.  ``class_id`` is the smallest id with the same
     n-gram set: equal sets link, so a class is judged once, through that member.  Rows with a null id are left out;
     repeated rows come out as often as they go in; an empty table gives no rows.  ``share``: a document is looked at in pass 2 if it has one prefix n-gram in
     common with others for each ``share`` of its n-grams, plus one.  ``longest``: the most that l may be.

@@ -1,91 +1,39 @@
 """Every link inside the components of the n-gram Jaccard join.
 
-The sets of a component are dealt by size into bands, so that linked sets lie in the same or in neighbouring bands, and
-within a band by a hash of the id into blocks of bounded size.  Two blocks that may hold links make a cell, which one
-call judges exactly: the numbers of shared n-grams of all its pairs are a matrix product, summed over n-grams that are
-common in the cell by dense slices and over rare ones pair by pair.  A group of m near copies costs m*m/2 pairs, as many
-as it can have links, but rows only in proportion to m times its number of blocks.
+Both ends of a link lie in one component, so all pairs of a component are judged, in cells of bounded size: a group of m
+near copies costs m*m/2 pairs, as many as it can have links, but rows only in proportion to m times its number of blocks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cells import judged_in_cells
 from ..scratch import Scratch
 
-SETS, GRAMS = 1024, 1 << 20  # of a block, on average
-SLICE = 2048  # n-grams of a dense slice
-RARE = 256  # an n-gram is rare if it is in fewer than this part of a cell's pairs
-PAIRS = 1 << 22  # rare pairs summed at once
-
-_CELL = ["component", "band_a", "block_a", "band_b", "block_b"]
 _COUNTS = pa.schema([("rep", pa.int64()), ("n_links", pa.int64())])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64())])
 
 
-def _side(table: pa.Table) -> tuple[np.ndarray, ...]:
-    rep, n, members = (table.column(c).to_numpy() for c in ("rep", "n", "members"))
-    lists = table.column("grams").combine_chunks()
-    gram = lists.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy()))
-    order = np.argsort(gram, kind="stable")
-    return rep, n, members, gram[order], row[order]
-
-
-def _shared(gram_a: np.ndarray, row_a: np.ndarray, a: int, gram_b: np.ndarray, row_b: np.ndarray, b: int) -> np.ndarray:
-    """Of each pair of rows the number of shared n-grams; n-grams are sorted and distinct within a row."""
-    grams = np.intersect1d(gram_a, gram_b)
-    from_a, from_b = np.searchsorted(gram_a, grams), np.searchsorted(gram_b, grams)
-    in_a, in_b = np.searchsorted(gram_a, grams, "right") - from_a, np.searchsorted(gram_b, grams, "right") - from_b
-    out = np.zeros(a * b, np.int64)
-    rare = in_a * in_b * RARE <= a * b
-    at = np.flatnonzero(rare)
-    for part in np.split(at, np.flatnonzero(np.diff(np.cumsum(in_a[at] * in_b[at]) // PAIRS)) + 1):
-        pairs = in_a[part] * in_b[part]
-        which = np.repeat(np.arange(len(part)), pairs)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
-        wide = in_b[part][which]
-        out += np.bincount(row_a[from_a[part][which] + nth // wide] * b + row_b[from_b[part][which] + nth % wide], minlength=a * b)
-    out = out.reshape(a, b)
-    common = np.flatnonzero(~rare)
-    for k in range(0, len(common), SLICE):
-        part = common[k : k + SLICE]
-        dense = []
-        for start, count, row, rows in ((from_a, in_a, row_a, a), (from_b, in_b, row_b, b)):
-            column = np.repeat(np.arange(len(part)), count[part])
-            nth = np.arange(len(column)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
-            dense.append(np.zeros((rows, len(part)), np.float32))
-            dense[-1][row[start[part][column] + nth], column] = 1
-        out += (dense[0] @ dense[1].T).astype(np.int64)
-    return out
-
-
 def _judge(percent: int, pairs: bool):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, band_a, block_a, band_b, block_b = (k.as_py() for k in key)
-        alone = (band_a, block_a) == (band_b, block_b)
-        second = table.column("second").to_numpy(zero_copy_only=False)
-        rep, n, members, gram, row = _side(table.filter(pa.array(~second)))
-        rep_b, n_b, members_b, gram_b, row_b = (rep, n, members, gram, row) if alone else _side(table.filter(pa.array(second)))
-        shared = _shared(gram, row, len(rep), gram_b, row_b, len(rep_b))
-        linked = shared * (100 + percent) >= percent * (n[:, None] + n_b[None, :])
+    def judge(a: dict, b: dict, shared: np.ndarray, alone: bool) -> pa.Table:
+        linked = shared * (100 + percent) >= percent * (a["n"][:, None] + b["n"][None, :])
         if alone:
             np.fill_diagonal(linked, False)
         if pairs:
             i, j = np.nonzero(np.triu(linked) if alone else linked)
-            return pa.table([np.minimum(rep[i], rep_b[j]), np.maximum(rep[i], rep_b[j]), shared[i, j]], schema=_LINKS)
+            one, two = a["rep"][i], b["rep"][j]
+            return pa.table([np.minimum(one, two), np.maximum(one, two), shared[i, j]], schema=_LINKS)
         linked = linked.astype(np.float64)  # sums of counts are exact far beyond any number of documents
-        counts = (linked @ members_b).astype(np.int64)
+        rep, counts = a["rep"], (linked @ b["members"]).astype(np.int64)
         if not alone:
-            rep, counts = np.concatenate([rep, rep_b]), np.concatenate([counts, (members @ linked).astype(np.int64)])
+            rep, counts = np.concatenate([rep, b["rep"]]), np.concatenate([counts, (a["members"] @ linked).astype(np.int64)])
         return pa.table([rep[counts > 0], counts[counts > 0]], schema=_COUNTS)
 
-    return run
+    return judge
 
 
 def links(index: DataFrame, parts: DataFrame, classes: DataFrame, percent: int, scratch: Scratch, pairs: bool) -> DataFrame:
@@ -94,21 +42,7 @@ def links(index: DataFrame, parts: DataFrame, classes: DataFrame, percent: int,
     With ``pairs`` (u, v, shared), one row for each.  Else (rep, n_links), to be summed by rep: the ids that a set's links
     lead to, where ``classes`` (class_id, members) says how many a set stands for.
     """
-    base = math.log(100 / percent * 1.0001)  # a little more than linked sizes may differ by, so rounding does no harm
     sets = index.join(parts.withColumnRenamed("node", "rep"), "rep").join(classes.select(F.col("class_id").alias("rep"), "members"), "rep")
-    sets = sets.select("component", F.floor(F.log("n") / base).alias("band"), "rep", "n", "members", "grams")
-    sizes = sets.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum(F.size("grams")).alias("held"))
-    blocks = scratch.write(sizes.select("component", "band", F.greatest(F.ceil(F.col("sets") / SETS), F.ceil(F.col("held") / GRAMS)).alias("blocks")), "blocks")
-    sets = scratch.write(sets.join(blocks, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks")).drop("blocks"), "linked-sets")
-    block = blocks.select("component", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    met = F.expr("a.component = b.component AND (b.band = a.band AND b.block >= a.block OR b.band = a.band + 1)")
-    cells = block.alias("a").join(block.alias("b"), met).select("a.component", *[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("band", "block")])
-    cells = scratch.write(cells, "cells")
-    apart = F.col("band_a").eqNullSafe(F.col("band_b")) & F.col("block_a").eqNullSafe(F.col("block_b"))
-    first = cells.select(*_CELL, F.col("band_a").alias("band"), F.col("block_a").alias("block"), F.lit(False).alias("second"))
-    second = cells.where(~apart).select(*_CELL, F.col("band_b").alias("band"), F.col("block_b").alias("block"), F.lit(True).alias("second"))
-    asked = sets.join(first.unionByName(second), ["component", "band", "block"]).select(*_CELL, "second", "rep", "n", "members", "grams")
-    out = asked.groupBy(*_CELL).applyInArrow(_judge(percent, pairs), "u long, v long, shared long" if pairs else "rep long, n_links long")
-    out = scratch.write(out, "cell-links")
-    scratch.drop(sets, blocks, cells)
-    return out
+    sets = sets.withColumnRenamed("grams", "keys")
+    schema = "u long, v long, shared long" if pairs else "rep long, n_links long"
+    return judged_in_cells(sets, ["component"], ["rep", "n", "members"], "n", 100 / percent, _judge(percent, pairs), schema, scratch)

@@ -67,8 +67,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     The stream is all documents' ids in table order, each followed by ``end_id``; window number w holds the stream's
     ids from ``w * size`` on, so only the last sequence is ever padded.  A document that crosses a window's end has a
-    piece, a boundary record, on either side.  Null and empty texts are the end id alone; null ids and repeated rows
-    are packed like any other; an empty table gives no rows.  ``keep_ids`` adds the ids themselves.
+    piece, a boundary record, on either side.  Null and empty texts are the end id alone; texts of any length are encoded
+    whole; null ids and repeated rows are packed like any other; other columns are ignored, whatever their names; an empty
+    table gives no rows.  ``keep_ids`` adds the ids themselves.
 
     Pass one encodes each text once and stores ids and places within the task's partition.  The sums of partitions,
     one number for each, go through the driver as prefix sums.  Pass two adds a partition's offset to its rows and

@@ -203,7 +203,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word is removed if it lies in a window of ``window`` consecutive words that also begins in a document of
     smaller id; windows are judged on the input.  ``kept_text`` holds the remaining words joined by one space for
     documents that lose some, and is null for the others; ``kept_sha256`` covers both.  Texts with fewer words than
-    a window, null and empty ones keep everything.  Rows of one id are repeats of one document and come out as often as
+    a window, null and empty ones keep everything; texts and words of any length are read whole.  Rows of one id are repeats of one document and come out as often as
     they go in; rows with a null id are left out; an empty table gives no rows; other columns are ignored.
 
     Documents come in ``batches`` by id, as if they arrived over time; each joins the index and yields the
@@ -220,12 +220,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 10000)).first()[0] or []
     bounds = [None, *sorted(set(cuts if batches > 1 else [])), None]
     index, batches_, shared = FingerprintIndex(scratch, fan_out), [], []
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        new = docs if low is None else docs.where(F.col("doc_id") > low)
-        new = new if high is None else new.where(F.col("doc_id") <= high)
-        batches_.append(scratch.write(new.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "batch"))
-        shared.append(index.add(batches_[-1].select(F.explode("prints").alias("fp"))))
-    index.close()
+    try:
+        for low, high in zip(bounds, bounds[1:], strict=False):
+            new = docs if low is None else docs.where(F.col("doc_id") > low)
+            new = new if high is None else new.where(F.col("doc_id") <= high)
+            batches_.append(scratch.write(new.mapInArrow(_first_pass(window, gram), "doc_id long, n_words long, sha string, prints array<long>"), "batch"))
+            shared.append(index.add(batches_[-1].select(F.explode("prints").alias("fp"))))
+    finally:  # runs are tables of the session's catalog
+        index.close()
     known, shared = reduce(DataFrame.unionByName, batches_), scratch.write(reduce(DataFrame.unionByName, shared).distinct(), "shared")
 
     original = scratch.write(known.groupBy("sha").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")

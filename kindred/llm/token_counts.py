@@ -32,7 +32,8 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
 
     One row for each encoded length that occurs.  ``truncated_tokens`` is the number of tokens left if every document
     is cut to ``n_tokens``; ``docs_at_most / total_docs`` places it among the quantiles.  Null and empty texts have
-    length 0; repeated rows count as often as they occur; an empty table gives no rows.
+    length 0; texts of any length are encoded whole; repeated rows count as often as they occur; other columns are
+    ignored, whatever their names; an empty table gives no rows.
 
     Each task sends counts of lengths, not documents.  Suffix sums run on two levels, over bands of lengths and
     inside each band, so no window holds more rows than there are bands or lengths in a band.

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from kindred.llm import ngram_links as L
+from kindred.operators import cells
 from kindred.llm.ngram_join import ngram_join, ngram_links
 
 from . import brute
@@ -55,7 +55,7 @@ def test_links_of_a_group_of_near_copies(spark):
 
 @pytest.mark.parametrize("percent", [60, 80, 100])
 def test_links_of_a_corpus_in_small_blocks(spark, monkeypatch, percent):
-    monkeypatch.setattr(L, "SETS", 7)
+    monkeypatch.setattr(cells, "SETS", 7)
     compare(spark, corpus(3), percent)
 
 
