@@ -68,8 +68,8 @@ WITH
   middle AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM level GROUP BY ALL),{_fit('fit1', 'above')},{_fit('fit2', 'middle')},{_fit('fit3', 'level')},
   suffixes AS (SELECT suffix, (k + mean * weight) / (n + weight) AS suffix_rate FROM above, fit1),
   domains AS (SELECT suffix, domain, (k + suffix_rate * weight) / (n + weight) AS domain_rate FROM middle JOIN suffixes USING (suffix), fit2),
-  known AS (SELECT host, n, {_bound('k', 'n', 'domain_rate', 'weight', 1.645)} AS bound FROM level JOIN domains USING (suffix, domain), fit3)
-SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound > 0.3 THEN 'block' ELSE 'allow' END) AS verdict, n AS n_outcomes, round(bound, 6) AS bad_rate_bound
+  known AS (SELECT host, n, {_bound('k', 'n', 'domain_rate', 'weight', -0.25)} AS bound FROM level JOIN domains USING (suffix, domain), fit3)
+SELECT page_id, host, path, {_rules()[0]} AS rule, coalesce({_rules()[1]}, CASE WHEN bound > (SELECT mean FROM fit1) THEN 'block' ELSE 'allow' END) AS verdict, n AS n_outcomes, round(bound, 6) AS bad_rate_bound
 FROM page JOIN known USING (host)
 """
 

@@ -50,12 +50,12 @@ def suffix_and_domain(host: Column) -> tuple[Column, Column]:
     return F.when(two, last_two).otherwise(last), F.when(two, three).otherwise(last_two)
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, scratch: Scratch, z: float = 1.645) -> DataFrame:
-    """(host, n, bad_rate_bound) for each row of hosts(host) from outcomes(host, bad boolean).
+def host_reputation(hosts: DataFrame, outcomes: DataFrame, scratch: Scratch, z: float = 0.25) -> tuple[DataFrame, float]:
+    """(host, n, bad_rate_bound) for each row of hosts(host) from outcomes(host, bad boolean), and the mean of the prior.
 
     Counts at each level are shrunk towards the level above: all outcomes, then public suffix, registered domain
     and host, with one concentration for each level, fitted by moments.  A host without outcomes has its domain's
-    rate.  The bound lies ``z`` posterior standard deviations above the posterior mean.
+    rate.  The bound lies ``z`` posterior standard deviations below the posterior mean.
     """
     tree = hosts.select("host", *[c.alias(n) for c, n in zip(suffix_and_domain(F.col("host")), ("suffix", "domain"), strict=True)])
     counted = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.count_if("bad").alias("k"))
@@ -68,16 +68,17 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, scratch: Scratch, z:
     _, weight = fit_beta(middle)
     domains = middle.join(suffixes, "suffix").select("suffix", "domain", shrunk(k, n, F.col("suffix_rate"), weight).alias("domain_rate"))
     _, weight = fit_beta(level)
-    return level.join(domains, ["suffix", "domain"]).select("host", "n", bound(k, n, F.col("domain_rate"), weight, z).alias("bad_rate_bound"))
+    return level.join(domains, ["suffix", "domain"]).select("host", "n", bound(k, n, F.col("domain_rate"), weight, -z).alias("bad_rate_bound")), mean
 
 
-def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_bad_rate: float = 0.3, z: float = 1.645) -> DataFrame:
+def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_bad_rate: float | None = None, z: float = 0.25) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_outcomes, bad_rate_bound) for each page.
 
     outcomes: (page_id, bad boolean) of labelled pages; null labels and unknown pages are ignored, and an outcome counts
     once for each host that rows of its page id name, however often they repeat.  The verdict is that of the longest
-    fitting rule.  Otherwise a host must be good with confidence: ``block`` where the upper posterior bound of its bad
-    rate is above ``max_bad_rate``, else ``allow``.  Without any outcome nothing is known, and nothing is blocked.  Null
+    fitting rule, otherwise ``block`` where the lower posterior bound of the host's bad rate is above ``max_bad_rate``,
+    else ``allow``.  Without a limit it is the mean of the fitted prior: with ``z`` of 0.25 a host goes if it is worse than
+    the table's pages with a probability of about 0.6.  Hosts without outcomes pass unless their domain is bad.  Null
     urls and urls without ``://`` have an empty host and path, no rule, and the reputation of the empty host.  Urls of
     any length are read whole; rows with a null id and repeated rows come out as often as they go in; other columns are
     ignored, whatever their names; no pages give no rows.
@@ -90,8 +91,8 @@ def url_filter(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     named = pages.select("page_id", "host").distinct()
     labelled = outcomes.select(F.col("page_id").cast("long"), "bad").where("bad is not null").join(named, "page_id").select("host", "bad")
-    known = scratch.write(host_reputation(pages.select("host").distinct(), labelled, scratch, z), "hosts")
-    limit = max_bad_rate if known.where("n > 0").limit(1).count() else float("inf")
+    known, mean = host_reputation(pages.select("host").distinct(), labelled, scratch, z)
+    known, limit = scratch.write(known, "hosts"), mean if max_bad_rate is None else max_bad_rate
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bad_rate_bound") > limit, "block").otherwise("allow")
     out = pages.join(known, "host", "left")

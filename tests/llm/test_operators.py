@@ -208,7 +208,7 @@ def test_url_rules_and_reputation(spark):
     urls = ["http://A.example.ORG/es/1?x", "https://example.org/en/12", "http://example.org/en/2#f", "x://a.com/fr/", "x://com/de/9", "x://acom/de/9", "nothing", None, "x://org", "x://h.net?q/a", "x://bad.net/1", "x://a://b.com/de/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(100 + i, "x://bad.net/2", "") for i in range(40)] + [(200 + i, f"x://good{i % 9}.net/2", "") for i in range(90)] + [(400, "x://bad.net/3", "")], "page_id long, url string, host string")
     outcomes = spark.createDataFrame([(100 + i, True) for i in range(40)] + [(200 + i, i % 30 == 0) for i in range(90)] + [(1, None), (9999, True)], "page_id long, bad boolean")
-    rows = {r.page_id: r for r in url_filter(pages, outcomes, RULES, max_bad_rate=0.95).collect()}
+    rows = {r.page_id: r for r in url_filter(pages, outcomes, RULES, z=1.645).collect()}
     assert [(rows[i].host, rows[i].path, rows[i].rule, rows[i].verdict) for i in range(12)] == [
         ("a.example.org", "/es/1", "example.org/es/", "block"), ("example.org", "/en/12", "example.org/en/1", "block"), ("example.org", "/en/2", "org/", "allow"), ("a.com", "/fr/", "com/fr/", "allow"),
         ("com", "/de/9", "com/de/", "block"), ("acom", "/de/9", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("org", "", None, "allow"), ("h.net", "", None, "allow"), ("bad.net", "/1", None, "block"), ("a:", "//b.com/de/", None, "allow"),
