@@ -53,7 +53,7 @@ def run_analysis(spark: SparkSession, root: Path, config: Config, language: str
     return analyze_path(spark, root, LANGUAGES[language or detect_language(root)], config)
 
 
-def _report(result: Analysis, reporter, out: TextIO) -> None:
+def print_report(result: Analysis, reporter, out: TextIO) -> None:
     reporter.stats(result.stats.first(), out)
     print(file=out)
     reporter.groups("exact", result.exact, out)
@@ -63,7 +63,7 @@ def _report(result: Analysis, reporter, out: TextIO) -> None:
             reporter.groups(section, groups, out)
 
 
-def _check(result: Analysis, reporter, config: Config, args: argparse.Namespace, out: TextIO) -> None:
+def print_check(result: Analysis, reporter, config: Config, args: argparse.Namespace, out: TextIO) -> None:
     row = result.stats.first()
     reporter.stats(row, out)
     pick = lambda given, own: own if given is None else given
@@ -140,11 +140,11 @@ def run(argv: Sequence[str], spark: SparkSession | None = None, out: TextIO | No
         if args.command == "stats":
             reporter.stats(result.stats.first(), out)
         elif args.command == "check":
-            _check(result, reporter, config, args, out)
+            print_check(result, reporter, config, args, out)
         elif args.command == "cleanup":
             _cleanup(spark, root, result, args.dry_run, out)
         else:
-            _report(result, reporter, out)
+            print_report(result, reporter, out)
     except (KindredError, OSError) as e:
         print(f"Error: {e}", file=err)
         return getattr(e, "exit_code", 2)

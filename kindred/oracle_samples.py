@@ -73,3 +73,208 @@ def units_sql(language: str, rows: list[tuple]) -> str:
         f"SELECT section, file, kind, name, line_start, line_end, {nodes('body')} + coalesce({nodes('signature')}, 0) AS node_count, substr(md5(coalesce(signature || '#', '') || body), 1, 16) AS fingerprint, parent_name, is_test, NULL AS warning"
         f" FROM (VALUES {values}) AS t(file, section, kind, name, line_start, line_end, signature, body, parent_name, is_test)" + warned
     )
+
+#: What commands print about samples.SIMILAR.
+PRINTED = {
+    "sample_report_text": """Duplication Statistics
+=====================
+Total code units analyzed: 7
+
+Exact duplicates: 1 groups (3 code units)
+Near duplicates:  1 groups (2 code units)
+
+Duplicated lines (exact): 15
+Duplicated lines (near):  10
+Duplication: 45.5% exact, 30.3% near (of 33 total lines)
+
+Sub-function exact: 2 groups (5 units)
+Sub-function near:  1 groups (2 units)
+
+Exact Duplicates
+================
+
+Group 1 (fingerprint: 5acfdad846eead47, 3 members):
+  - total (function) at src/loops.rs:1-5
+  - amount (function) at src/loops.rs:7-11
+  - total (function) at src/branches.rs:15-19
+
+Near Duplicates
+===============
+
+Group 1 (fingerprint: a00c8803469ae2e9, similarity: 95%, 2 members):
+  - least (function) at src/less.rs:1-5
+  - count (function) at src/less.rs:7-11
+
+Sub-function Exact Duplicates
+=============================
+
+Group 1 (fingerprint: 2ceb754ec6023cd7, 3 members):
+  - for body (loop body) in total at src/loops.rs:1-5
+  - for body (loop body) in amount at src/loops.rs:7-11
+  - for body (loop body) in total at src/branches.rs:15-19
+
+Group 2 (fingerprint: 30b6815e8b56b97c, 2 members):
+  - if-then branch (if branch) in Gate::open at src/branches.rs:2-4
+  - if-then branch (if branch) in close at src/branches.rs:7-11
+
+Sub-function Near Duplicates
+============================
+
+Group 1 (fingerprint: 766603a6445b0b20, similarity: 92%, 2 members):
+  - for body (loop body) in least at src/less.rs:1-5
+  - for body (loop body) in count at src/less.rs:7-11
+
+""",
+    "sample_report_json": """{
+  "total_code_units": 6,
+  "total_lines": 28,
+  "exact_duplicate_groups": 1,
+  "exact_duplicate_units": 2,
+  "near_duplicate_groups": 1,
+  "near_duplicate_units": 2,
+  "exact_duplicate_lines": 10,
+  "near_duplicate_lines": 10,
+  "exact_duplicate_percent": 35.714285714285715,
+  "near_duplicate_percent": 35.714285714285715,
+  "sub_exact_groups": 2,
+  "sub_exact_units": 4,
+  "sub_near_groups": 1,
+  "sub_near_units": 2
+}
+
+[
+  {
+    "fingerprint": "5acfdad846eead47",
+    "similarity": 1.0,
+    "members": [
+      {
+        "name": "total",
+        "kind": "function",
+        "file": "src/loops.rs",
+        "line_start": 1,
+        "line_end": 5
+      },
+      {
+        "name": "amount",
+        "kind": "function",
+        "file": "src/loops.rs",
+        "line_start": 7,
+        "line_end": 11
+      }
+    ]
+  }
+]
+[
+  {
+    "fingerprint": "a00c8803469ae2e9",
+    "similarity": 0.95,
+    "members": [
+      {
+        "name": "least",
+        "kind": "function",
+        "file": "src/less.rs",
+        "line_start": 1,
+        "line_end": 5
+      },
+      {
+        "name": "count",
+        "kind": "function",
+        "file": "src/less.rs",
+        "line_start": 7,
+        "line_end": 11
+      }
+    ]
+  }
+]
+[
+  {
+    "fingerprint": "2ceb754ec6023cd7",
+    "similarity": 1.0,
+    "members": [
+      {
+        "name": "for body",
+        "kind": "loop body",
+        "file": "src/loops.rs",
+        "line_start": 1,
+        "line_end": 5
+      },
+      {
+        "name": "for body",
+        "kind": "loop body",
+        "file": "src/loops.rs",
+        "line_start": 7,
+        "line_end": 11
+      }
+    ]
+  },
+  {
+    "fingerprint": "30b6815e8b56b97c",
+    "similarity": 1.0,
+    "members": [
+      {
+        "name": "if-then branch",
+        "kind": "if branch",
+        "file": "src/branches.rs",
+        "line_start": 2,
+        "line_end": 4
+      },
+      {
+        "name": "if-then branch",
+        "kind": "if branch",
+        "file": "src/branches.rs",
+        "line_start": 7,
+        "line_end": 11
+      }
+    ]
+  }
+]
+[
+  {
+    "fingerprint": "766603a6445b0b20",
+    "similarity": 0.9166666666666666,
+    "members": [
+      {
+        "name": "for body",
+        "kind": "loop body",
+        "file": "src/less.rs",
+        "line_start": 1,
+        "line_end": 5
+      },
+      {
+        "name": "for body",
+        "kind": "loop body",
+        "file": "src/less.rs",
+        "line_start": 7,
+        "line_end": 11
+      }
+    ]
+  }
+]
+""",
+    "sample_check": """Duplication Statistics
+=====================
+Total code units analyzed: 7
+
+Exact duplicates: 0 groups (0 code units)
+Near duplicates:  1 groups (2 code units)
+
+Duplicated lines (exact): 0
+Duplicated lines (near):  10
+Duplication: 0.0% exact, 30.3% near (of 33 total lines)
+
+Check FAILED: 1 near duplicate groups (max: 0)
+Near Duplicates
+===============
+
+Group 1 (fingerprint: a00c8803469ae2e9, similarity: 95%, 2 members):
+  - least (function) at src/less.rs:1-5
+  - count (function) at src/less.rs:7-11
+
+Error: Check failed
+""",
+}
+
+
+def printed_sql(name: str) -> str:
+    lines = ", ".join("(" + str(i) + ", '" + line.replace("'", "''") + "')" for i, line in enumerate(PRINTED[name].split("\n"), 1))
+    return f"SELECT line_no, line FROM (VALUES {lines}) AS t(line_no, line)"

@@ -150,6 +150,7 @@ SELECT event_id, CASE WHEN regexp_full_match(text, '[+]?0*[0-9A-Fa-f]{1,16}') TH
     "python_units": expected.units_sql("PYTHON", expected.PYTHON),
     "rust_units": expected.units_sql("RUST", expected.RUST),
     "mapped_units": expected.units_sql("BRACES", expected.BRACES),
+    **{name: expected.printed_sql(name) for name in expected.PRINTED},
     "config_precedence": """SELECT * FROM (VALUES ('defaults', 10, 0.9::DOUBLE, '', NULL, 0, FALSE, FALSE, 5), ('metadata', 15, 0.9, 'a', NULL, 0, FALSE, FALSE, 5), ('file over metadata', 25, 1.0, '', NULL, 3, FALSE, FALSE, 5),
   ('overrides', 5, 0.9, 'x,y,z', NULL, 0, TRUE, FALSE, 5), ('ill-typed file', 10, 0.9, '', 2, 0, FALSE, FALSE, 5), ('malformed files', 10, 0.9, '', NULL, 0, FALSE, TRUE, 7))
   AS t(name, min_nodes, similarity_threshold, exclude, max_exact_duplicates, min_lines, exclude_tests, sub_function, min_sub_nodes)""",

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import samples
-from .config import apply_overrides, config_of
-from .errors import KindredError
+from .config import Config, apply_overrides, config_of
+from .errors import CheckFailed, KindredError
 from .functions.fingerprints import composite, parse_hex
 from .operators.exact import exact_members, gathered, live_fingerprints, ordinals
-from .operators.ignore import drop_ignored, live_entries, stale_entries, upsert
+from .operators.ignore import drop_ignored, ignore_frame, live_entries, stale_entries, upsert
 from .operators.near import bucket_sizes, dice_pairs, first_occurrence_rank, near_candidates, near_components, near_members
 from .operators.stats import check_limits, rollup, stats
-from .report import group_json, member_lines, stats_json
+from .report import REPORTERS, group_json, member_lines, stats_json
 from .schema import SOURCE_FILES
 from .scratch import Scratch
 from .sources.files import extension, has_extension, is_excluded, language_of
@@ -330,11 +330,51 @@ def mapped_units(spark, d):
     return _sample_units(spark, ANALYZER, samples.BRACES)
 
 
+def _sample_output(spark, form, command, entries=(), **settings):
+    """Lines that a command prints about sample sources."""
+    import io
+    from argparse import Namespace
+
+    from .cli import print_check, print_report
+    from .frontend.registry import LANGUAGES, extract
+    from .plans.analyze import analyze_units
+
+    config = Config(similarity_threshold=0.8, min_sub_nodes=8, **settings)
+    scratch = Scratch(spark, "sample")
+    sources = spark.createDataFrame([(i, name, text, None) for i, (name, text) in enumerate(samples.SIMILAR.items())], SOURCE_FILES)
+    rows = scratch.write(extract(sources, LANGUAGES["rust"], config.min_nodes, config.min_lines, config.min_sub_nodes), "units")
+    rows = rows.where("not is_test") if config.exclude_tests else rows
+    of = lambda section: rows.where(F.col("section") == section).drop("section", "warning")
+    result, out = analyze_units(of("unit"), config, of("sub"), ignore_frame(spark, list(entries))), io.StringIO()
+    reporter = REPORTERS[form]("/project")
+    try:
+        if command == "report":
+            print_report(result, reporter, out)
+        else:
+            print_check(result, reporter, config, Namespace(max_exact=None, max_near=0, max_exact_percent=10.0, max_near_percent=None), out)
+    except CheckFailed as e:
+        print(f"Error: {e}", file=out)
+    return spark.createDataFrame(list(enumerate(out.getvalue().split("\n"), 1)), "line_no long, line string")
+
+
+def sample_report_text(spark, d):
+    return _sample_output(spark, "text", "report", sub_function=True)
+
+
+def sample_report_json(spark, d):
+    return _sample_output(spark, "json", "report", sub_function=True, exclude_tests=True)
+
+
+def sample_check(spark, d):
+    """Limits from the configuration and the command line; the exact group is ignored."""
+    return _sample_output(spark, "text", "check", [{"fingerprint": samples.IGNORED}], max_exact_duplicates=0)
+
+
 ALL = (
     scan_exclude_paths, language_counts, language_detect, units_text, units_orders, text_tree_nodes, placeholder_index, reindexed_subtree, fingerprints, fingerprint_parse, composite_fingerprint,
     exact_groups_text, exact_groups_orders, exact_members_text, size_buckets, near_candidates_text, dice_pairs_text, dice_pairs_orders, near_components_text, near_groups_text, near_members_text, tests_excluded,
     sub_units, sub_exact_groups, sub_near_groups, live_fingerprints_text, ignore_filter, ignore_stale, ignore_live, ignore_upsert, stats_text, stats_with_sub, stats_rollup, check_limits_text, group_ordinals,
-    report_json_rows, report_json_near, report_json_stats, report_text_rows, report_text_near, report_text_sub, config_precedence, python_units, rust_units, mapped_units,
+    report_json_rows, report_json_near, report_json_stats, report_text_rows, report_text_near, report_text_sub, config_precedence, python_units, rust_units, mapped_units, sample_report_text, sample_report_json, sample_check,
 )
 
 

@@ -118,3 +118,41 @@ function broken(a { return a; }
 function testAfter(a) { let x = ; return [1, "s", a.b[0], (p, q) => p + q * 2, null]; }
 """,
 }
+
+IGNORED = "5acfdad846eead47"  # the loops of SIMILAR that are equal
+SIMILAR = {
+    "/project/src/loops.rs": RUST["loops.rs"],
+    "/project/src/less.rs": """fn least(ys: &[i32]) -> i32 {
+    let mut acc = 0;
+    for y in ys { if *y < 0 { acc += *y; } }
+    acc
+}
+
+fn count(ys: &[i32]) -> i32 {
+    let mut acc = 0;
+    for y in ys { if *y <= 9 { acc += *y; } }
+    acc
+}
+""",
+    "/project/src/branches.rs": """impl Gate {
+    fn open(&self, n: i32) -> i32 {
+        if n > 3 { let a = n * 2; let b = a + 1; log(a, b); b } else { 0 }
+    }
+}
+
+fn close(m: i32, k: i32) -> i32 {
+    let z = k;
+    while z > m { step(z); }
+    if k < m { let c = m * 2; let d = c + 1; log(c, d); d } else { z }
+}
+
+#[cfg(test)]
+mod tests {
+    fn total(xs: &[i32]) -> i32 {
+        let mut out = 0;
+        for x in xs { if *x > 0 { out += *x; } }
+        out
+    }
+}
+""",
+}
