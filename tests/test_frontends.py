@@ -8,6 +8,7 @@ from kindred.frontend import braces
 from kindred.frontend.captures import parse_queries
 from kindred.frontend.mapping import BLOCK, DROPPED, Cst, Defines, Grammar, Infix, Leaf, Name, Prefix, Shape, cst_units
 from kindred.frontend.python_source import python_units
+from kindred.frontend.registry import LANGUAGES, file_rows
 from kindred.frontend.rust_source import RustSyntaxError, rust_units
 from kindred.frontend.tree import Numbering, canonical, count, sub_units
 
@@ -208,3 +209,11 @@ def test_tolerant_parser():
     for broken in ("", "}}}", "{{{ ( [", "function", "if (", "(" * 5000, "x = 'open", "/* open", "a..b; function ok() { return; }"):
         assert braces.parse(broken).kind == "program"
     assert names("a..b; function ok() { return; }") == [("function", "ok")]
+
+
+@pytest.mark.parametrize(("analyzer", "text"), [("rust", "fn f() -> i32 {{ {0}1{1} }}"), ("rust", "fn f() {{ {2}{3} }}"), ("braces", "function f() {{ return {0}1{1}; }}")])
+def test_deeply_nested_sources(analyzer, text):
+    deep = 5000
+    text = text.format("(" * deep, ")" * deep, "if a { " * deep, "}" * deep)
+    (row,) = file_rows(LANGUAGES.get(analyzer, braces.ANALYZER), 0, "a", text, 1, 0, None)
+    assert (row["section"], row["name"]) == ("unit", "f")
