@@ -79,3 +79,9 @@ def test_keys_of_nodes_beyond_the_packed_range_stay_apart():
     line, nth, code = (np.array(x) for x in zip((0, 0, big), (big, 0, 0), (0, big, 0), (0, 0, 0), (1, 0, 0), (big + 1, 0, 0), (-1, -1, -3), (0, -1, -2), strict=True))
     keys = _path_keys(line, nth, code)
     assert len(set(keys.tolist())) == len(keys) and (keys[:3] < 0).all() and (keys[3:5] >= 0).all()
+
+
+def test_pairs_of_packed_sets(spark):
+    docs = spark.createDataFrame([(i, f"a b c {'d ' * (i % 5)}\ne f {'g' if i % 3 else '7'}", "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string")
+    want = {tuple(r) for r in dice_pairs(text_units(docs), 0.5).collect()}
+    assert want and {tuple(r) for r in dice_pairs(text_units(docs, packed=True), 0.5).collect()} == want
