@@ -85,3 +85,15 @@ def test_pairs_of_packed_sets(spark):
     docs = spark.createDataFrame([(i, f"a b c {'d ' * (i % 5)}\ne f {'g' if i % 3 else '7'}", "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string")
     want = {tuple(r) for r in dice_pairs(text_units(docs), 0.5).collect()}
     assert want and {tuple(r) for r in dice_pairs(text_units(docs, packed=True), 0.5).collect()} == want
+
+
+def test_lines_are_packed_and_ranked_rows_are_dropped(spark):
+    from kindred.sources.tabular import text_sub_units
+
+    docs = spark.createDataFrame([(i, "a b c d e\n\nf g a 7 8 9 f", "en", "s") for i in range(9)], "doc_id long, text string, lang string, source string")
+    dropped = []
+    scratch = Scratch(spark, "t")
+    scratch.drop = lambda *tables, drop=scratch.drop: (dropped.extend(t._scratch_path for t in tables), drop(*tables))
+    packed = {r.unit_id: unpack_sets(_binary(r.packed_keys))[0].tolist() for r in text_sub_units(docs, scratch, packed=True).collect()}
+    assert packed == {r.unit_id: sorted(r.body_keys) for r in text_sub_units(docs, Scratch(spark, "t")).collect()} and len(packed) == 18
+    assert [p for p in dropped if p.endswith("-rows")]
