@@ -122,3 +122,19 @@ def test_a_cell_is_judged_in_little_more_room_than_its_counts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < n * n * 8
+
+
+def test_counts_of_a_cell_take_four_bytes_and_their_pairs_come_in_small_parts():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 400
+    held = rng.random((2, n, 6000)) < 0.03
+    keyed = [cells._distinct(np.nonzero(x.T)[0], np.nonzero(x.T)[1].astype(np.uint16)) for x in held]
+    tracemalloc.start()
+    shared = cells.shared_keys(keyed[0], n, keyed[1], n)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    pairs = int((held[0].sum(0) * held[1].sum(0)).sum())
+    assert shared.tolist() == (held[0].astype(int) @ held[1].T.astype(int)).tolist()
+    assert shared.dtype == np.int32 and peak < 8 * pairs
