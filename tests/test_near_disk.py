@@ -115,10 +115,10 @@ def test_a_cell_is_judged_in_little_more_room_than_its_counts():
     total = sides[0]["body_count"][:, None] + sides[1]["body_count"]
     for threshold in (-1.0, 0.0, 0.25, 0.5, 1.0):
         i, j = np.nonzero(2.0 * want / total >= threshold)
-        got = _passes(*sides, shared, False, threshold)
+        got = [np.concatenate(x) for x in zip(*_passes(*sides, shared, False, threshold), strict=True)]
         assert got[0].tolist() == i.tolist() and got[1].tolist() == j.tolist() and (got[2] == (2.0 * want / total)[i, j]).all()
     tracemalloc.start()
-    _passes(*sides, shared, False, 0.5)
+    list(_passes(*sides, shared, False, 0.5))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < n * n * 8
@@ -138,3 +138,24 @@ def test_counts_of_a_cell_take_four_bytes_and_their_pairs_come_in_small_parts():
     pairs = int((held[0].sum(0) * held[1].sum(0)).sum())
     assert shared.tolist() == (held[0].astype(int) @ held[1].T.astype(int)).tolist()
     assert shared.dtype == np.int32 and peak < 8 * pairs
+
+
+def test_a_cell_whose_pairs_all_pass_takes_little_room(monkeypatch):
+    import tracemalloc
+
+    from kindred.operators import near
+
+    monkeypatch.setattr(near, "JUDGED", 1 << 14, raising=False)
+    n = 600
+    sides = [{"unit_id": np.arange(k * n, (k + 1) * n), "body_count": np.full(n, 10)} for k in range(2)]
+    shared = np.full((n, n), 9, np.int32)
+    shared[n - 1, n - 1] = 6
+    tracemalloc.start()
+    got = near._linking(0.5)(*sides, shared, False).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [{"a": 0, "b": x, "score": 0.6} for x in range(1, 2 * n)]
+    assert peak < 8 * n * n
+    assert near._passing(0.5)(*sides, shared, False).num_rows == n * n
+    alone = near._linking(0.5)(sides[0], sides[0], shared, True).to_pylist()
+    assert [(r["a"], r["b"]) for r in alone] == [(0, x) for x in range(1, n)]
